@@ -33,9 +33,16 @@ def op4_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from watttrail.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_feistel_shards": op2_feistel_shards,
     "op4_bloom_exact_dedup": op4_bloom_exact_dedup,
+    "op9_simhash_blocks": op9_simhash_blocks,
 }
 
 _EQUAL_TEXTS = r"""
