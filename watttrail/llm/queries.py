@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watttrail.session import table
+from watttrail.session import new_path, table
 
 
 def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,10 +39,39 @@ def op9_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from watttrail.llm.warc import read_archive, write_archive
+
+    path = new_path(spark, "warc")
+    write_archive(table(spark, sf_dir, "pages"), path)
+    return read_archive(spark, path).select(
+        F.expr("try_cast(page as bigint)").alias("page_id"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"),
+        "record_type",
+        F.expr("try_cast(refers_to as bigint)").alias("refers_to"),
+    )
+
+
+def word_bpe() -> str:
+    """Place of the word-level BPE tokenizer, which is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from watttrail.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), word_bpe())
+
+
 QUERIES = {
     "op2_feistel_shards": op2_feistel_shards,
     "op4_bloom_exact_dedup": op4_bloom_exact_dedup,
+    "op6_content_addressed_warc": op6_content_addressed_warc,
     "op9_simhash_blocks": op9_simhash_blocks,
+    "op10_sum_of_squares_packing": op10_sum_of_squares_packing,
 }
 
 _EQUAL_TEXTS = r"""
@@ -58,6 +87,21 @@ select doc_id,
 from d
 """
 
+_REVISITS = """
+with p as (
+  select page_id, coalesce(html, '') html, strlen(coalesce(html, '')) payload_bytes, sha256(coalesce(html, '')) payload_digest
+  from pages),
+r as (
+  select *, first_value(page_id) over (partition by payload_digest order by page_id nulls last) first_id,
+         row_number() over (partition by payload_digest order by page_id nulls last) k
+  from p)
+select page_id, payload_bytes, payload_digest,
+       case when k > 1 and payload_bytes >= 100 then 'revisit' else 'response' end as record_type,
+       case when k > 1 and payload_bytes >= 100 then first_id end as refers_to
+from r
+"""
+
 ORACLE_SQL = {
+    "op6_content_addressed_warc": _REVISITS,
     "op4_bloom_exact_dedup": _EQUAL_TEXTS,
 }
