@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watttrail.session import new_path, table
@@ -27,6 +27,18 @@ def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _crc(column: str) -> Column:
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def op3_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from watttrail.llm.langid import predict, train
+
+    documents = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.pmod(_crc("doc_id"), F.lit(3)) == 1, F.lit(False)))
+    net = train(documents.where(~F.col("held_out")))
+    return predict(documents, net, keep=["doc_id", "held_out"])
+
+
 def op4_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from watttrail.llm.exact_dedup import exact_duplicates
 
@@ -68,6 +80,7 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_feistel_shards": op2_feistel_shards,
+    "op3_byte_gru_language": op3_byte_gru_language,
     "op4_bloom_exact_dedup": op4_bloom_exact_dedup,
     "op6_content_addressed_warc": op6_content_addressed_warc,
     "op9_simhash_blocks": op9_simhash_blocks,
