@@ -65,6 +65,12 @@ def op6_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from watttrail.llm.suffix_tree import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"), F.pmod(_crc("doc_id"), F.lit(7)) == 2)
+
+
 def word_bpe() -> str:
     """Place of the word-level BPE tokenizer, which is installed on every machine."""
     import public_tokenizers
@@ -83,6 +89,7 @@ QUERIES = {
     "op3_byte_gru_language": op3_byte_gru_language,
     "op4_bloom_exact_dedup": op4_bloom_exact_dedup,
     "op6_content_addressed_warc": op6_content_addressed_warc,
+    "op7_suffix_tree_scores": op7_suffix_tree_scores,
     "op9_simhash_blocks": op9_simhash_blocks,
     "op10_sum_of_squares_packing": op10_sum_of_squares_packing,
 }
