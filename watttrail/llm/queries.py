@@ -45,6 +45,12 @@ def op4_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from watttrail.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from watttrail.llm.simhash import near_duplicates
 
@@ -90,6 +96,7 @@ QUERIES = {
     "op4_bloom_exact_dedup": op4_bloom_exact_dedup,
     "op6_content_addressed_warc": op6_content_addressed_warc,
     "op7_suffix_tree_scores": op7_suffix_tree_scores,
+    "op8_multi_index_hashing": op8_multi_index_hashing,
     "op9_simhash_blocks": op9_simhash_blocks,
     "op10_sum_of_squares_packing": op10_sum_of_squares_packing,
 }
