@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from watttrail.session import new_path, table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from watttrail.llm.licenses import scan_licenses
+
+    # the documents as files: a directory for each source, packages in it, one file in four a licence file
+    package = F.concat(F.lit("/pkg"), F.floor(F.col("doc_id") / 8) % 50)
+    file = F.when(F.col("doc_id") % 4 == 0, F.lit("/LICENSE")).otherwise(F.concat(F.lit("/src/f"), F.col("doc_id").cast("string")))
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", package, file).alias("path"), "text")
+    return scan_licenses(documents)
+
+
 def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from watttrail.llm.sharding import shard_rows
 
@@ -57,6 +67,28 @@ def op9_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def piece_bpe() -> str:
+    """Place of the SentencePiece model, which is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op5_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from watttrail.llm.pieces import encode_texts
+
+    found = encode_texts(table(spark, sf_dir, "documents"), piece_bpe(), n=4, keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        F.crc32(F.array_join("piece_ids", " ").cast("binary")).alias("ids_crc32"),
+        F.col("nbest_scores")[0].alias("best_score"),
+        F.get("nbest_scores", F.lit(1)).alias("second_score"),
+        F.size("nbest_scores").cast("long").alias("n_best"),
+        "round_trip",
+    )
+
+
 def op6_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from watttrail.llm.warc import read_archive, write_archive
 
@@ -91,9 +123,11 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_feistel_shards": op2_feistel_shards,
     "op3_byte_gru_language": op3_byte_gru_language,
     "op4_bloom_exact_dedup": op4_bloom_exact_dedup,
+    "op5_nbest_pieces": op5_nbest_pieces,
     "op6_content_addressed_warc": op6_content_addressed_warc,
     "op7_suffix_tree_scores": op7_suffix_tree_scores,
     "op8_multi_index_hashing": op8_multi_index_hashing,
