@@ -1 +1,6 @@
+"""Whole queries composed of operators, and the registry of those the driver runs."""
 
+from watttrail.plans import ledger_queries
+
+QUERIES = {**ledger_queries.QUERIES}
+ORACLE_SQL = {**ledger_queries.ORACLE_SQL}
