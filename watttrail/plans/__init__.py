@@ -1,6 +1,7 @@
 """Whole queries composed of operators, and the registry of those the driver runs."""
 
-from watttrail.plans import ledger_queries
+from watttrail.plans import ledger_queries, model_queries, source_queries, stream_queries
 
-QUERIES = {**ledger_queries.QUERIES}
-ORACLE_SQL = {**ledger_queries.ORACLE_SQL}
+_MODULES = (ledger_queries, model_queries, source_queries, stream_queries)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

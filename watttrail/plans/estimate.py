@@ -186,5 +186,5 @@ def mitigation(carbon_total: DataFrame, scenarios: DataFrame) -> DataFrame:
         iv.mul(F.col("tonnes"), F.col("price")).alias("proportional_usd"),
         iv.mul(high, F.col("price")).alias("cover_high_usd"),
         F.col("adjusted").alias("adjusted_tonnes"),
-        iv.mul(F.col("adjusted"), F.col("price")).alias("adjusted_usd"),
+        F.when(F.col("adjusted").isNotNull(), iv.mul(F.col("adjusted"), F.col("price"))).alias("adjusted_usd"),
     )

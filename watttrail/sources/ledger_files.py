@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watttrail.functions.wire import decode
@@ -12,7 +12,7 @@ from watttrail.sources.lines import read_lines
 SKIPPED = (".venv", "venv", "node_modules")
 
 
-def ledger_lines(spark: SparkSession, path: str, notes: str | None = None) -> DataFrame:
+def ledger_lines(spark: SparkSession, path: str | list[str], notes: str | None = None) -> DataFrame:
     """Decoded rows of ledger files and of exported notes, with the order in which they are read.
 
     A flat ``ledger.jsonl`` comes before shards by name; notes come after all files.
@@ -26,14 +26,27 @@ def ledger_lines(spark: SparkSession, path: str, notes: str | None = None) -> Da
     return decode(rows.drop("mtime"))
 
 
-def repo_of(path: F.Column) -> F.Column:
+def repo_of(path: Column) -> Column:
     """Directory of the repository whose ledger a file belongs to: that above its hidden folder."""
     return F.regexp_extract(F.regexp_replace(path, "^file:(//)?", ""), r"^(.*)/\.[^/]+/ledger/[^/]+$", 1)
 
 
+def discover(spark: SparkSession, root: str, depth: int = 4) -> list[str]:
+    """Ledger folders at most ``depth`` directories below ``root``; one path a repository.
+
+    They lie in hidden folders, which Spark's own listing passes over.
+    """
+    jvm, found = spark.sparkContext._jvm, []
+    for level in range(depth + 1):
+        pattern = jvm.org.apache.hadoop.fs.Path(root + "/*" * level + "/.*/ledger")
+        system = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found += [str(s.getPath().toString()) for s in system.globStatus(pattern) or []]
+    return sorted({f for f in found if not set(f[len(root) :].split("/")) & set(SKIPPED)})
+
+
 def fleet_lines(spark: SparkSession, root: str) -> DataFrame:
     """Decoded rows of all ledgers below ``root``, with each row's repository directory."""
-    rows = ledger_lines(spark, root)
-    skipped = "/(" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + ")/"
-    found = rows.where(~F.col("path").rlike(skipped)).withColumn("repo", repo_of(F.col("path")))
-    return found.where("repo <> ''")
+    folders = discover(spark, root)
+    if not folders:
+        raise ValueError(f"no ledger below {root}")
+    return ledger_lines(spark, folders).withColumn("repo", repo_of(F.col("path")))

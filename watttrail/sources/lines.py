@@ -13,7 +13,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     A file is one row while it is read (2 GB at most), so work is spread by file; a transcript
     is one session.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     named = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), "value")
     lines = named.select("path", "mtime", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
     return lines.where(F.trim("value") != "")
