@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dirs: dict[str, str] = {}
 
 
@@ -52,12 +55,24 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/stage/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Queries inside delete their shuffle files as they end, not when the driver collects its garbage."""
+    before = spark.conf.get(_RELEASE, "false")
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_RELEASE, before)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
-    This cuts lineage, fixes the result of expressions that depend on the partition, and
-    survives the loss of executors.
+    This cuts lineage, fixes the result of expressions that depend on the partition, survives
+    the loss of executors and lets the shuffle files behind ``df`` go.
     """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_released(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
