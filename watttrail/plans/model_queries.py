@@ -188,13 +188,13 @@ def prj_interval_validate(spark, sf_dir):
 
 
 
-@query("""select l_orderkey, l_linenumber, round((q * 0.5e0 + p) * 0.5e0 / (q * 2) / 3, 6) as low, round((q + p) / q / 3, 6) as central,
-    round((q * 2 + p) * 2 / (q * 0.5e0) / 3, 6) as high from (select l_orderkey, l_linenumber, l_quantity::double q, l_extendedprice::double p from lineitem)""", prelude=False)
+@query("""select l_orderkey, l_linenumber, round((q * 0.5e0 + p) * 0.5e0 / (q * 2) / 3, 9) as low, round((q + p) / q / 3, 9) as central,
+    round((q * 2 + p) * 2 / (q * 0.5e0) / 3, 9) as high from (select l_orderkey, l_linenumber, l_quantity::double q, l_extendedprice::double p from lineitem)""", prelude=False)
 def prj_interval_arith(spark, sf_dir):
     """((q * [0.5, 1, 2] + p) * [0.5, 1, 2]) / (q * [0.5, 1, 2]) / 3."""
     q, p, wide = iv.exact(F.col("l_quantity")), iv.exact(F.col("l_extendedprice")), iv.const([0.5, 1, 2])
     x = iv.scaled(iv.div(iv.mul(iv.add(iv.mul(q, wide), p), wide), iv.mul(q, wide)), 1 / 3)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(F.round(x[b], 6).alias(b) for b in iv.BOUNDS))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(F.round(x[b], 9).alias(b) for b in iv.BOUNDS))
 
 
 _SCENARIO_SQL = ", ".join(f"('{n}', {s['usd_per_tco2e'][0]}e0, {s['usd_per_tco2e'][1]}e0, {s['usd_per_tco2e'][2]}e0)" for n, s in SCENARIOS.items())
