@@ -306,8 +306,9 @@ def predict(df: DataFrame, net: Network, text_col: str = "text", keep: list[str]
             _scores[key] = WordScores(net)
         names = np.array([*net.languages, UNDETERMINED], object)
         for batch in batches:
-            prob = document_probabilities(batch.column(at).to_pylist(), _scores[key])
-            if not net.languages:
+            if net.languages:
+                prob = document_probabilities(batch.column(at).to_pylist(), _scores[key])
+            else:
                 prob = np.zeros((batch.num_rows, 1))
             best, score = prob.argmax(axis=1), prob.max(axis=1, initial=0.0)
             best[score == 0] = len(net.languages)
@@ -338,7 +339,7 @@ def label_spans(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: s
         words = words_of(text)
         parts = [p for w in words if has_letter(w) for p in segments(w)]
         labels: dict[bytes, np.ndarray] = {}
-        distinct = list(dict.fromkeys(parts))
+        distinct = list(dict.fromkeys(parts)) if net.languages else []
         for i in range(0, len(distinct), 4096):
             batch = Batch.of(distinct[i : i + 4096])
             best = net.probabilities(batch)[0].argmax(axis=2)
