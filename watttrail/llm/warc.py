@@ -1,7 +1,7 @@
 """Content-addressed WARC archive: payload bytes stored once by SHA-256, record headers apart.
 
 An archive is two tables in one folder. ``payloads`` has the bytes of each distinct payload once,
-under their digest. ``records`` has the exact header block of every record with the digest of its
+under their digest, and how many copies readers should make of it. ``records`` has the exact header block of every record with the digest of its
 payload. ``read_archive`` joins them, verifies every payload against its digest and rebuilds the
 records byte for byte.
 
@@ -66,20 +66,21 @@ def write_archive(
         "records",
     )
     marked = mark_repeats(named.select("sha", "payload"), narrow)
-    repeated = marked.where("may_repeat").groupBy("sha").agg(F.first("payload").alias("payload"))
-    straight = marked.where(~F.col("may_repeat")).select("sha", "payload")
+    copies = F.ceil(F.col("n") / RECORDS_PER_COPY).cast("int").alias("copies")
+    repeated = marked.where("may_repeat").groupBy("sha").agg(F.first("payload").alias("payload"), F.count("*").alias("n"))
+    straight = marked.where(~F.col("may_repeat")).select("sha", "payload", F.lit(1).alias("copies"))
+    payloads = straight.unionByName(repeated.select("sha", "payload", copies)).withColumnRenamed("sha", "digest")
 
     first = F.min(F.struct(F.col("page").isNull().alias("no_id"), "page", "row")).alias("first")
     groups = stage(narrow.groupBy("sha").agg(F.count("*").alias("n"), first), "groups")
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    copies = F.ceil(F.col("n") / RECORDS_PER_COPY).cast("int")
-    entries = groups.select("sha", "n", copies.alias("copies"), F.col("first.page").alias("first_page"), F.col("first.row").alias("first_row"))
+    entries = groups.select("sha", "n", copies, F.col("first.page").alias("first_page"), F.col("first.row").alias("first_row"))
     records = lookup(narrow, entries, "sha", "n", total, "row")
     other = (F.col("row") != F.col("first_row")) & (F.col("size") >= REVISIT_FROM)
     records = records.withColumn("refers_to", F.when(other, _urn(F.col("first_page"), F.col("first_row"))))
     copy = F.pmod(F.xxhash64("row"), F.col("copies")).cast("int").alias("copy")
-    records.select(_header(date).alias("header"), F.col("sha").alias("digest"), copy, "copies").write.option("compression", "zstd").parquet(f"{path}/records")
-    straight.unionByName(repeated).select(F.col("sha").alias("digest"), "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    records.select(_header(date).alias("header"), F.col("sha").alias("digest"), copy).write.option("compression", "zstd").parquet(f"{path}/records")
+    payloads.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -91,11 +92,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """
     records = spark.read.parquet(f"{path}/records")
     payloads = spark.read.parquet(f"{path}/payloads")
-    wanted = records.where("copies > 1").groupBy("digest").agg(F.max("copies").alias("copies"))
-    spread = payloads.join(wanted, "digest", "left").select(
-        "digest", "payload", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy")
-    )
-    joined = records.drop("copies").join(spread, ["digest", "copy"], "left")
+    spread = payloads.select("digest", "payload", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    joined = records.join(spread, ["digest", "copy"], "left")
     sound = F.sha2("payload", 256) == F.col("digest")
     checked = F.when(sound, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload missing or damaged: "), F.col("digest"))))
 
