@@ -123,7 +123,7 @@ once as (
   select case user_id % 3 when 0 then 'claude-code' when 1 then 'codex' else 'opencode' end agent,
          's' || user_id session_id, cast(event_id as varchar) msg_id, ts, 'm-' || event_type model, k * 10 input,
          k * (user_id % 5) cache_write, k * 100 cache_read, cast(floor(value) as bigint) output,
-         case when event_id % 7 = 0 then 1 else 0 end web_search, 0 web_fetch, 'repo' || (user_id % 10) repo,
+         case when event_id % 7 = 0 then 1::bigint else 0::bigint end web_search, 0::bigint web_fetch, 'repo' || (user_id % 10) repo,
          case event_id % 4 when 1 then 'impl' when 2 then 'review' when 3 then 'planning' end activity, 0 line_no, event_id
   from e where event_type <> 'purchase'),
 raw as (

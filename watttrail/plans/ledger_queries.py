@@ -352,7 +352,7 @@ def agg_report_agent(spark, sf_dir):
     return report.report(derive.ledger(spark, sf_dir), "agent")
 
 
-@query("select model as key, 0 as turns, sum(input)::bigint as input, sum(cache_write)::bigint as cache_write, sum(cache_read)::bigint as cache_read, sum(output)::bigint as output, sum(input + cache_write + cache_read)::bigint as billable_input, 0.0::double as wall_clock_s, model as models from row_model group by model")
+@query("select model as key, 0::bigint as turns, sum(input)::bigint as input, sum(cache_write)::bigint as cache_write, sum(cache_read)::bigint as cache_read, sum(output)::bigint as output, sum(input + cache_write + cache_read)::bigint as billable_input, 0.0::double as wall_clock_s, model as models from row_model group by model")
 def agg_report_model(spark, sf_dir):
     return report.report(derive.ledger(spark, sf_dir), "model")
 
@@ -428,7 +428,7 @@ def win_codex_model_ffill(spark, sf_dir):
     return rows.select("session_id", "msg_id", ops.carry_forward(named, ["session_id"], ["ts", "msg_id"]).alias("model"))
 
 
-@query("select count(*) as readable_rows, (select count(*) from measured where repo = 'repo3') as corrupt_rows, 10 as files, count(*) filter (where repo in ('repo8', 'repo9')) as note_rows from ledger")
+@query("select count(*) as readable_rows, (select count(*) from measured where repo = 'repo3') as corrupt_rows, 10::bigint as files, count(*) filter (where repo in ('repo8', 'repo9')) as note_rows from ledger")
 def qlt_ledger_health(spark, sf_dir):
     rows = derive.ledger(spark, sf_dir)
     lines = wire.encode(rows).withColumn("path", F.concat(F.lit("/l/"), "repo")).withColumn("src_order", F.when(F.col("repo").isin("repo8", "repo9"), 1).otherwise(0))

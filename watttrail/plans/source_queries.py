@@ -109,7 +109,7 @@ def _codex_log(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-@query(_CODEX_SQL + "select session_id, model, count(*) as turns, sum(input)::bigint as input, 0 as cache_write, sum(cache_read)::bigint as cache_read, sum(output)::bigint as output from d group by all")
+@query(_CODEX_SQL + "select session_id, model, count(*) as turns, sum(input)::bigint as input, 0::bigint as cache_write, sum(cache_read)::bigint as cache_read, sum(output)::bigint as output from d group by all")
 def src_codex_turns(spark, sf_dir):
     return _sums(dedup_turns(_as_session(agents.codex_records(_read(spark, _codex_log(spark, sf_dir))))))
 

@@ -11,6 +11,7 @@ from watttrail.session import new_path
 from watttrail.streaming import incremental as inc
 
 QUERIES, ORACLE_SQL = {}, {}
+_STATE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def query(sql=None):
@@ -65,9 +66,11 @@ def str_late_turns(spark, sf_dir):
     path, out = new_path(spark, "late"), new_path(spark, "kept")
     for late in (False, True):
         rows.where(F.col("late") == late).drop("late").coalesce(1).write.mode("append").parquet(path)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    before = spark.conf.get(_STATE)
+    spark.conf.set(_STATE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = spark.readStream.schema("session_id string, msg_id string, us long").option("maxFilesPerTrigger", 1).parquet(path)
     inc.run_available(inc.drop_late(stream), lambda df, _: df.write.mode("append").parquet(out))
+    spark.conf.set(_STATE, before)
     return spark.read.parquet(out).select("session_id", "msg_id")
 
 
