@@ -98,7 +98,7 @@ def test_open_windows_are_bounded(monkeypatch):
 
 def all_segmentations(lattice, text):
     """Every path of the lattice with its score, by recursion."""
-    ends = lattice.edges(text)
+    ends, _ = lattice.edges(text)
 
     def back(stop):
         if not stop:
@@ -124,7 +124,7 @@ def test_nbest_matches_all_paths(lattice):
 
 def test_text_nbest_matches_the_whole_lattice(lattice):
     units = pieces.Units(lattice, 5)
-    for text in ("to the", "in a\nof it", "on", ""):
+    for text in ("to the", "in a\nof it", "on", "", "a,b!", "x: é😀"):
         ids, scores, back = units.text(text)
         every = all_segmentations(lattice, " " + text)
         assert scores == pytest.approx([s for s, _ in every[:5]]) and back
