@@ -8,7 +8,7 @@ from watttrail.functions import interval as iv
 from watttrail.plans import derive
 from watttrail.plans import estimate as est
 from watttrail.plans.packs import GENERIC_WIDE, PRICES, SCENARIOS, Pack, energy_mix, pack_of_mix, scenario_table
-from watttrail.session import new_path, table
+from watttrail.session import new_path, stage, table
 
 QUERIES, ORACLE_SQL = {}, {}
 WIDE = Pack.of(GENERIC_WIDE)
@@ -43,7 +43,8 @@ tools as (select day, sum(web_search + web_fetch) * 0.0005e0 kwh from dated grou
 
 
 def _usage(spark, sf_dir, pack=derive.PACK):
-    return est.metrics(est.usage(derive.ledger(spark, sf_dir), pack), pack)
+    # a ledger is a table, and read once for each kind of usage
+    return est.metrics(est.usage(stage(derive.ledger(spark, sf_dir), "ledger"), pack), pack)
 
 
 def _by_model(rows, *metrics, digits=6):
@@ -113,7 +114,7 @@ def agg_estimate_by_model(spark, sf_dir):
     round((select sum(usd) from costed), 4) as api_cost_usd, '{derive.PACK.version}' as pack_version, '{derive.PACK.sha256}' as assumptions_sha256,
     'scalar' as grid_model, false as has_bounds, (select strftime(max(recorded_at), '%Y-%m-%dT%H:%M:%S') from ledger) as through""")
 def mod_estimate_report(spark, sf_dir):
-    found = est.report(derive.ledger(spark, sf_dir), derive.PACK)
+    found = est.report(stage(derive.ledger(spark, sf_dir), "ledger"), derive.PACK)
     return found.select("energy_kwh", "api_cost_usd", "pack_version", "assumptions_sha256", "grid_model", "has_bounds", "through")
 
 
