@@ -20,9 +20,12 @@ for next words within a context:
    that hold over ``HOT`` of all words, fewer than ``1 / HOT``, are spread over all buckets.
 3. A bucket adds the counts up, tests its contexts, and answers every chunk.
 
-Contexts of length k are sent only where the context and the shorter pair occur twice, so each
-level moves less than the one before. Only counts of tokens and words and the strengths of hot
-contexts reach the driver.
+The formula holds for every next word of a context that occurs twice, so probabilities sum to 1.
+A pair is left out of the exchange only where its count follows from the shorter pair's: that is 0,
+or it is 1, the chunk has the one occurrence itself and no other chunk asked for the shorter pair.
+Of contexts without a pair to send, the strength alone is asked for, unless the chunk sees that at
+most one occurrence can have a repeated next word; such a context never passes the test. Only
+counts of tokens and words and the strengths of hot contexts reach the driver.
 """
 
 from __future__ import annotations
@@ -94,6 +97,17 @@ class _Words(dict):
         return value
 
 
+def _told(total: np.ndarray, own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Answers to chunks that counted ``own``: 0 to that with the one occurrence if others asked too."""
+    return np.where((total == 1) & (own == 1) & others, 0, total).astype("<u4")
+
+
+def _heard(answered: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts, and where the counts of longer pairs are to be exchanged, from answers of ``_told``."""
+    count = np.maximum(answered, own).astype(np.int64)
+    return count, (count > 1) | ((count == 1) & ((own == 0) | (answered == 0)))
+
+
 _BASE = "chunk long, train_tokens long, ids array<{id}>, held array<boolean>, sizes binary, vocabulary binary, words binary"
 
 
@@ -159,9 +173,11 @@ class Replay:
         self.doc, self.train = doc, ~self.held[doc]
         self.place = np.arange(n) - self.first[doc]  # words before it, the leading end counted
 
-    def words(self, total: np.ndarray, tokens: int, distinct: int, hot_from: float) -> None:
+    def words(self, answered: np.ndarray, tokens: int, distinct: int, hot_from: float) -> None:
         """Takes the training counts of the local vocabulary."""
-        self.known = total[self.token]
+        own = np.bincount(self.token[self.train & ~self.leading], minlength=len(self.vocabulary))
+        total, sent = _heard(answered, own)
+        self.known, self.sent = total[self.token], sent[self.token]
         self.base = (self.known + 1) / (tokens + distinct + 1)
         self.p = self.base.copy()
         self.context, self.count, self.local = self.vocabulary[self.token], self.known.copy(), self.token
@@ -170,60 +186,81 @@ class Replay:
     def pairs(self, level: int, buckets: int) -> bool:
         """Finds the distinct pairs of the next level; false if there are none."""
         i = np.flatnonzero(self.place > level - 1)
-        shorter = self.count if level > 1 else self.known
-        i = i[(self.count[i - 1] >= 2) & (shorter[i] >= 2)]
+        i = i[self.count[i - 1] >= 2]
         if not len(i):
             self.at = i
             return False
         # one sort of local numbers finds the pairs, a context's pairs side by side
         key = self.local[i - 1] * len(self.vocabulary) + self.token[i]
         _, one, pair = np.unique(key, return_index=True, return_inverse=True)
+        own = np.bincount(pair, weights=self.train[i]).astype(np.int64)
         context, hashed = self.context[i[one] - 1], self.vocabulary[self.token[i[one]]]
-        total = self.count[i[one] - 1]
+        total, sent = self.count[i[one] - 1], self.sent[i[one]]
         hot = total >= self.hot_from
-        home = (_mix(context, np.where(hot, hashed, np.uint64(0))) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(home, kind="stable")
+        home = (_mix(context, np.where(hot & sent, hashed, np.uint64(0))) % np.uint64(buckets)).astype(np.int64)
+        # pairs to send come first, by bucket
+        order = np.lexsort((home, ~sent))
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        self.at, self.pair = i, place[pair]
+        self.at, self.pair, self.n_sent = i, place[pair], int(sent.sum())
         self.pair_home, self.pair_context, self.pair_word = home[order], context[order], hashed[order]
-        self.pair_total, self.pair_p = total[order], self.p[i[one[order]]]
-        self.pair_count = np.bincount(self.pair, weights=self.train[self.at]).astype(np.int64)
+        self.pair_total, self.pair_p, self.pair_count = total[order], self.p[i[one[order]]], own[order]
+        self._contexts(self.local[i[one] - 1][order], own[order], total[order], hot[order])
         return True
 
+    def _contexts(self, local: np.ndarray, own: np.ndarray, total: np.ndarray, hot: np.ndarray) -> None:
+        """Finds the contexts whose strength is to be asked for alone, by bucket."""
+        _, self.owner = np.unique(local, return_inverse=True)
+        n, k = int(self.owner.max()) + 1, self.n_sent
+        first = np.full(n, len(self.owner))
+        np.minimum.at(first, self.owner, np.arange(len(self.owner)))
+        # pairs left out have one occurrence at most
+        single = np.bincount(self.owner[k:], weights=own[k:], minlength=n)
+        ask = (first >= k) & ~hot[first] & (total[first] - single >= 2)
+        alone = first[ask]
+        self.alone = alone[np.argsort(self.pair_home[alone], kind="stable")]
+
     def requests(self) -> Iterator[tuple[int, list[bytes]]]:
         """Per bucket: contexts, pairs of each, totals of each; next words, counts, parent's probabilities."""
-        for lo, hi, ctx in self._homes():
-            per = np.diff(np.append(ctx, hi))
-            blobs = [_short(self.pair_context[ctx]), per.astype("<u4"), self.pair_total[ctx].astype("<u4")]
+        for home, lo, hi, ctx, alone in self._homes():
+            both = np.concatenate((ctx, alone))
+            per = np.concatenate((np.diff(np.append(ctx, hi)), np.zeros(len(alone), np.int64)))
+            blobs = [_short(self.pair_context[both]), per.astype("<u4"), self.pair_total[both].astype("<u4")]
             word = (self.pair_word[lo:hi] >> np.uint64(32)).astype("<u4")
             blobs += [word, self.pair_count[lo:hi].astype("<u4"), _coarse(self.pair_p[lo:hi])]
-            yield int(self.pair_home[lo]), [_pack(b) for b in blobs]
-
-    def _homes(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """Range of pairs of each bucket and where its contexts start."""
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(self.pair_home)) + 1, [len(self.pair_home)]))
-        new = np.concatenate(([True], (np.diff(self.pair_context) != 0) | (np.diff(self.pair_home) != 0)))
-        starts = np.flatnonzero(new)
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            yield int(lo), int(hi), starts[np.searchsorted(starts, lo) : np.searchsorted(starts, hi)]
+            yield home, [_pack(b) for b in blobs]
+
+    def _homes(self) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+        """Each bucket with its range of pairs, where their contexts start, and contexts asked for alone."""
+        homes, context = self.pair_home[: self.n_sent], self.pair_context[: self.n_sent]
+        new = (np.diff(context) != 0) | (np.diff(homes) != 0)
+        starts = np.flatnonzero(np.concatenate(([True], new))) if self.n_sent else np.zeros(0, np.int64)
+        lone = self.pair_home[self.alone]
+        for home in np.union1d(homes, lone):
+            lo, hi = np.searchsorted(homes, home), np.searchsorted(homes, home, "right")
+            ctx = starts[np.searchsorted(starts, lo) : np.searchsorted(starts, hi)]
+            alone = self.alone[np.searchsorted(lone, home) : np.searchsorted(lone, home, "right")]
+            yield int(home), int(lo), int(hi), ctx, alone
 
     def take(self, answers: dict[int, tuple[np.ndarray, np.ndarray]], hot: dict[int, float]) -> None:
         """Takes pair counts and context strengths by bucket; moves on to contexts one word longer."""
-        count, strength = np.zeros(len(self.pair_home)), np.zeros(len(self.pair_home))
-        for lo, hi, ctx in self._homes():
-            totals, own = answers[int(self.pair_home[lo])]
-            count[lo:hi] = totals
-            strength[lo:hi] = np.repeat(own, np.diff(np.append(ctx, hi)))
+        answered, each = self.pair_count.copy(), np.zeros(int(self.owner.max()) + 1)
+        for home, lo, hi, ctx, alone in self._homes():
+            totals, strengths = answers[home]
+            answered[lo:hi] = totals
+            each[self.owner[np.concatenate((ctx, alone))]] = strengths
+        strength = each[self.owner]
         for k in np.flatnonzero(self.pair_total >= self.hot_from):
             strength[k] = hot.get(int(self.pair_context[k] >> _SHORT), 0.0)
+        count, sent = _heard(answered, self.pair_count)
+        sent[self.n_sent :] = False
         mixed = (count + strength * self.pair_total * self.pair_p) / (self.pair_total * (1 + strength))
         self.p[self.at] = np.where(strength > 0, mixed, self.pair_p)[self.pair]
         longer, counts = np.zeros_like(self.context), np.zeros_like(self.count)
         longer[self.at] = _mix(self.pair_context, self.pair_word)[self.pair]
-        counts[self.at] = count.astype(np.int64)[self.pair]
-        self.local = np.zeros_like(self.local)
-        self.local[self.at] = self.pair
+        counts[self.at] = count[self.pair]
+        self.local, self.sent = np.zeros_like(self.local), np.zeros_like(self.sent)
+        self.local[self.at], self.sent[self.at] = self.pair, sent[self.pair]
         self.context, self.count = longer, counts
 
     def result(self) -> list:
@@ -270,7 +307,9 @@ def _answer(requests: pa.Table, hot_from: float) -> pa.Table:
     word = np.concatenate(parts["words"]).astype(np.uint64)
     pair = (owner.astype(np.uint64) << np.uint64(32)) | word
     _, first, inverse = np.unique(pair, return_index=True, return_inverse=True)
-    count = np.bincount(inverse, weights=np.concatenate(parts["counts"]))
+    counted = np.concatenate(parts["counts"])
+    count = np.bincount(inverse, weights=counted)
+    told = _told(count[inverse], counted, np.bincount(inverse, weights=counted == 0)[inverse] > 0)
     own = owner[first]
     gain, covered = gains(count, total[own], 2.0 ** (np.concatenate(parts["parents"])[first] / -6.0), own, len(keys))
     hot = total >= hot_from
@@ -278,7 +317,7 @@ def _answer(requests: pa.Table, hot_from: float) -> pa.Table:
     out: list[tuple] = []
     ends, c_ends = np.cumsum([len(x) for x in parts["words"]]), np.cumsum([len(x) for x in parts["contexts"]])
     for k, row in enumerate(rows):
-        mine = count[inverse[ends[k] - len(parts["words"][k]) : ends[k]]].astype("<u4")
+        mine = told[ends[k] - len(parts["words"][k]) : ends[k]]
         ids = context_id[c_ends[k] - len(parts["contexts"][k]) : c_ends[k]]
         out.append((row["chunk"], row["bucket"], _pack(mine), _pack(strength[ids]), None, None, None, None))
     for k in np.flatnonzero(hot):
@@ -315,11 +354,13 @@ def _count_words(base: DataFrame, buckets: int) -> DataFrame:
         rows = asked.to_pylist()
         keys = [_unpack(r["keys"], "<u8") for r in rows]
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate([_unpack(r["counts"], "<u4") for r in rows])).astype("<u4")
+        counted = np.concatenate([_unpack(r["counts"], "<u4") for r in rows])
+        total = np.bincount(inverse, weights=counted)
+        told = _told(total[inverse], counted, np.bincount(inverse, weights=counted == 0)[inverse] > 0)
         ends = np.cumsum([len(k) for k in keys])
         found = int((total > 0).sum())
         out = [
-            (r["chunk"], r["bucket"], _pack(total[inverse[e - len(k) : e]]), found if i == 0 else 0)
+            (r["chunk"], r["bucket"], _pack(told[e - len(k) : e]), found if i == 0 else 0)
             for i, (r, k, e) in enumerate(zip(rows, keys, ends, strict=True))
         ]
         return _table(out, "chunk long, bucket long, counts binary, distinct long")
