@@ -45,3 +45,22 @@ def test_exports(spark, tmp_path):
     lines = spark.createDataFrame([("r", str(i)) for i in range(12)], "repo string, value string").coalesce(1)
     export.write_shards(lines, f"{tmp_path}/shards", rows=5)
     assert len(list((tmp_path / "shards" / "repo=r").glob("part-*"))) == 3
+
+
+def test_claims_merge_with_what_is_there(spark, tmp_path):
+    path = f"{tmp_path}/claims"
+    for hour in (3, 5, 4):
+        rows = spark.createDataFrame([("s", "r", f"2026-01-01 0{hour}:00:00"), (f"s{hour}", "r", "2026-01-01 00:00:00")], "session_id string, repo string, t string")
+        export.compact_claims(rows.selectExpr("session_id", "repo", "cast(t as timestamp) ts_hi"), path)
+    export.compact_claims(export.read_claims(spark, path), path)
+    got = {r.session_id: r.ts_hi.hour for r in export.read_claims(spark, path).collect()}
+    assert got == {"s": 5, "s3": 0, "s4": 0, "s5": 0}
+    assert len(list(Path(path).glob("version=*"))) == 2
+
+
+def test_shards_are_bounded_in_bytes(spark, tmp_path):
+    lines = spark.range(2000).selectExpr("if(id < 1900, 'hot', 'cold') repo", "repeat(cast(id as string), 30) value")
+    export.write_shards(lines, f"{tmp_path}/shards", max_bytes=2000)
+    sizes = [p.stat().st_size for p in Path(tmp_path, "shards").rglob("part-*")]
+    assert max(sizes) <= 2000 and len(sizes) > 60
+    assert spark.read.text(f"{tmp_path}/shards").count() == 2000

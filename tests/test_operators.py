@@ -68,3 +68,33 @@ def test_staged_tables_are_fixed_and_shared(spark):
     made = stage(spark.range(10).select(F.rand().alias("x")), "fixed")
     assert made.collect() == made.collect()
     assert new_path(spark, "a") != new_path(spark, "a") and new_path(spark, "a").startswith(shared_dir(spark))
+
+
+def test_next_boundary_of_one_busy_repository_is_fast(spark):
+    turns = spark.range(400_000).selectExpr("'r' repo", "id", "timestamp_micros(1767225600000000 + id * 200000) ts")
+    marks = spark.range(0, 400_000, 100_000).selectExpr("'r' repo", "concat('c', id) sha", "timestamp_micros(1767225600000000 + id * 200000) commit_ts")
+    found = next_boundary(turns, marks, ["repo"], "day").groupBy("sha").count().collect()
+    assert {r.sha: r["count"] for r in found} == {"c0": 1, "c100000": 100_000, "c200000": 100_000, "c300000": 100_000, None: 99_999}
+
+
+def test_directories_of_commit_commands(spark):
+    from watttrail.functions.text import commit_directory, is_commit_command
+
+    cases = {
+        "git commit": (True, "/home/u/w"),
+        "cd ~/x && git commit": (True, "/home/u/x"),
+        "git -C ~ commit": (True, "/home/u"),
+        "cd a && cd b && git -C c -c k='v w' commit -m 'x; y'": (True, "/home/u/w/a/b/c"),
+        "git status; cd /z; git commit": (True, "/z"),
+        "git commit; cd /z": (True, "/home/u/w"),
+        "sudo git commit": (True, "/home/u/w"),
+        "git commit-tree x": (False, "/home/u/w"),
+        'git log --grep "git commit"': (False, "/home/u/w"),
+        "git -C /r commit --dry-run": (False, "/r"),
+        "": (False, "/home/u/w"),
+    }
+    rows = spark.createDataFrame([(c,) for c in cases], "c string")
+    got = rows.select("c", is_commit_command(F.col("c")).alias("made"), commit_directory(F.col("c"), F.lit("/home/u/w")).alias("at")).collect()
+    assert {r.c: (r.made, r.at) for r in got} == cases
+    away = rows.limit(1).select(commit_directory(F.lit("git -C ~/x commit"), F.lit("/srv")).alias("at"), is_commit_command(F.lit(None).cast("string")).alias("made"))
+    assert tuple(away.first()) == ("/srv/~/x", False)

@@ -116,3 +116,34 @@ def test_unknown_source():
 def test_latest_transcript(spark):
     rows = spark.createDataFrame([("r", 1, "a", "s1"), ("r", 2, "b", "s2"), ("q", 1, "c", "s3")], "repo string, mtime int, path string, session_id string")
     assert sorted(tuple(r) for r in agents.latest_transcript(rows, ["repo"]).collect()) == [("q", "s3", "c"), ("r", "s2", "b")]
+
+
+def test_line_order_across_splits(spark, tmp_path):
+    (tmp_path / "long.txt").write_text("".join(f"{i:099}\n" for i in range(100_000)))
+    (tmp_path / "short.txt").write_text("a\n\nb\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500000")
+    try:
+        lines = read_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 4
+        rows = lines.where("path like '%long%'").orderBy("line_no").select("value", "line_no").collect()
+        assert [int(r.value) for r in rows] == list(range(100_000))
+        assert len({r.line_no for r in rows}) == 100_000
+        assert [r.value for r in lines.where("path like '%short%'").orderBy("line_no").collect()] == ["a", "b"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_discovery_at_any_depth(spark, tmp_path):
+    from watttrail.sources.ledger_files import discover, fleet_lines
+
+    deep = tmp_path / "a/b/c/d/e/f/r1"
+    write(deep / ".usage/ledger/x.jsonl", ['{"v":3,"c":"c1","sid":"s","n":1,"t":[1,2,3,4]}'])
+    write(tmp_path / "r2/.usage/notes/n.jsonl", ['{"v":3,"c":"c2","sid":"s","n":1,"t":[1,2,3,4]}'])
+    write(tmp_path / "r3/node_modules/p/.usage/ledger/x.jsonl", ["{}"])
+    found = discover(spark, str(tmp_path))
+    assert [len(v) for v in found.values()] == [1, 1]
+    rows = fleet_lines(spark, str(tmp_path)).select("repo", "commit", "src_order").orderBy("commit").collect()
+    assert [(r.repo.rsplit("/", 1)[1], r.commit, r.src_order) for r in rows] == [("r1", "c1", 0), ("r2", "c2", 1)]
+    with pytest.raises(ValueError, match="no ledger"):
+        fleet_lines(spark, str(tmp_path / "r3"))

@@ -24,7 +24,16 @@ def bounds(value: float | Sequence[float] | dict) -> tuple[float, float, float]:
 
 
 def make(low: Column, central: Column, high: Column) -> Column:
-    return F.struct(*(c.cast("double").alias(b) for c, b in zip((low, central, high), BOUNDS, strict=True)))
+    """An interval; it keeps its three columns, so that arithmetic on it nests no structs."""
+    parts = dict(zip(BOUNDS, (low, central, high), strict=True))
+    made = F.struct(*(c.cast("double").alias(b) for b, c in parts.items()))
+    made.__dict__["interval_parts"] = parts
+    return made
+
+
+def bound(x: Column, name: str) -> Column:
+    parts = x.__dict__.get("interval_parts")
+    return parts[name] if parts else x[name]
 
 
 def const(value: float | Sequence[float] | dict) -> Column:
@@ -45,21 +54,22 @@ def checked(x: Column) -> Column:
 
 
 def add(a: Column, b: Column) -> Column:
-    return make(*(a[x] + b[x] for x in BOUNDS))
+    return make(*(bound(a, x) + bound(b, x) for x in BOUNDS))
 
 
 def mul(a: Column, b: Column) -> Column:
-    return make(*(a[x] * b[x] for x in BOUNDS))
+    return make(*(bound(a, x) * bound(b, x) for x in BOUNDS))
 
 
 def div(a: Column, b: Column) -> Column:
     """Low over high and high over low; a divisor that may be zero raises."""
-    by = F.when(b["low"] > 0, b).otherwise(F.raise_error(F.lit("a divisor's low bound must be positive")))
-    return make(a["low"] / by["high"], a["central"] / by["central"], a["high"] / by["low"])
+    least = bound(b, "low")
+    least = F.when(least > 0, least).otherwise(F.raise_error(F.lit("a divisor's low bound must be positive")))
+    return make(bound(a, "low") / bound(b, "high"), bound(a, "central") / bound(b, "central"), bound(a, "high") / least)
 
 
 def scaled(a: Column, factor: float) -> Column:
-    return make(*(a[x] * F.lit(factor) for x in BOUNDS))
+    return make(*(bound(a, x) * F.lit(factor) for x in BOUNDS))
 
 
 def total(name: str) -> list[Column]:

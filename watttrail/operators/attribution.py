@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from watttrail.functions.text import project_directory
+
 PENDING = "pending@"
 
 
-def next_boundary(turns: DataFrame, boundaries: DataFrame, by: list[str], bucket: str = "day") -> DataFrame:
+def next_boundary(turns: DataFrame, boundaries: DataFrame, by: list[str], bucket: str = "hour") -> DataFrame:
     """Left as-of join: each turn with the first boundary of its ``by`` group at or after ``ts``.
 
     ``boundaries`` has ``by``, ``sha`` and ``commit_ts``; of equal times the smallest sha counts.
@@ -22,12 +24,13 @@ def next_boundary(turns: DataFrame, boundaries: DataFrame, by: list[str], bucket
     mark_rows = marks.select(*by, F.col("commit_ts").alias("_at"), F.lit(1).alias("_mark"), at.alias("_next"))
     turn_rows = turns.select(*by, F.col("ts").alias("_at"), F.lit(0).alias("_mark"), F.struct(*turns.columns).alias("_turn"))
     rows = turn_rows.unionByName(mark_rows, allowMissingColumns=True).withColumn("_bucket", F.date_trunc(bucket, "_at"))
-    # at one time a turn comes before a boundary, so that it belongs to it
-    later = W.partitionBy(*by, "_bucket").orderBy("_at", "_mark").rowsBetween(0, W.unboundedFollowing)
-    found = rows.withColumn("_found", F.first("_next", ignorenulls=True).over(later)).where("_mark = 0")
+    # latest first, so that a frame that only grows holds what comes later; at one time a
+    # boundary comes before a turn, which belongs to it
+    later = W.partitionBy(*by, "_bucket").orderBy(F.desc("_at"), F.desc("_mark")).rowsBetween(W.unboundedPreceding, 0)
+    found = rows.withColumn("_found", F.last("_next", ignorenulls=True).over(later)).where("_mark = 0")
     buckets = rows.groupBy(*by, "_bucket").agg(F.min("_next").alias("_first"))
-    after = W.partitionBy(*by).orderBy("_bucket").rowsBetween(1, W.unboundedFollowing)
-    following = buckets.select(*by, "_bucket", F.first("_first", ignorenulls=True).over(after).alias("_following"))
+    after = W.partitionBy(*by).orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
+    following = buckets.select(*by, "_bucket", F.last("_first", ignorenulls=True).over(after).alias("_following"))
     joined = found.join(following, [*by, "_bucket"], "left").withColumn("_hit", F.coalesce("_found", "_following"))
     return joined.select("_turn.*", "_hit.sha", "_hit.commit_ts")
 
@@ -54,6 +57,18 @@ def new_compactions(compactions: DataFrame, ledger: DataFrame) -> DataFrame:
     return compactions.join(ledger.where("boundary_ts is not null").select(*keys).distinct(), keys, "left_anti")
 
 
+def compactions_of_commits(compactions: DataFrame, boundaries: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Compactions not yet in the ledger, each with the commit that books it.
+
+    A commit takes those of its repository after the session's watermark and up to its own time,
+    ``(lo, hi]``; what lies after the last commit has no ``sha`` and is left to a sweep.
+    """
+    fresh = new_compactions(compactions, ledger).join(watermarks(ledger), ["repo", "session_id"], "left")
+    fresh = fresh.where("mark is null or boundary_ts > mark").drop("mark").withColumn("ts", F.col("boundary_ts"))
+    kept = [c for c in fresh.columns if c not in ("commit", "commit_ts", "ts")]
+    return next_boundary(fresh.select(*kept, "ts"), boundaries, ["repo"]).drop("ts")
+
+
 def not_recorded(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     """Rows whose session and commit have no measured row in the ledger."""
     keys = ["repo", "session_id", "commit"]
@@ -76,6 +91,17 @@ def sessions_in_repos(sessions: DataFrame, repos: DataFrame, cwd: str = "cwd", r
     return ups.join(repos, root)
 
 
+def filed_sessions_in_repos(sessions: DataFrame, repos: DataFrame, cwd: str = "cwd", root: str = "root") -> DataFrame:
+    """Sessions with their repositories, by working directory or by the folder they are filed under.
+
+    ``sessions`` has ``project``, the encoded name of that folder. A session filed under the
+    encoded root itself belongs to the repository even if it names no directory; any other needs
+    a directory below the root, as several paths share one encoded name.
+    """
+    named = repos.withColumn("project", project_directory(F.col(root)))
+    return sessions_in_repos(sessions, repos, cwd, root).unionByName(sessions.join(named, "project")).distinct()
+
+
 def workspaces_in_repos(sessions: DataFrame, repos: DataFrame, roots: str = "workspace_roots", root: str = "root") -> DataFrame:
     """Sessions with each repository that equals one of their workspace roots or lies below one."""
     opened = sessions.withColumn("_workspace", F.explode(roots))
@@ -126,6 +152,10 @@ def backfill(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     return next_boundary(turns.join(named, "session_id", "left_semi"), pairs, ["session_id"])
 
 
-def commit_events(calls: DataFrame, is_commit: Column, directory: Column) -> DataFrame:
-    """Commits that sessions made themselves, from a log of tool calls: session, directory, time."""
-    return calls.where(is_commit).withColumn("directory", directory)
+def commit_events(calls: DataFrame, is_commit: Column, directory: Column, transcripts: DataFrame | None = None) -> DataFrame:
+    """Commits that sessions made themselves, from a log of tool calls: session, directory, time.
+
+    With ``transcripts(transcript_path)``, calls whose transcript is not there are left out.
+    """
+    made = calls.where(is_commit).withColumn("directory", directory)
+    return made if transcripts is None else made.join(transcripts.select("transcript_path"), "transcript_path", "left_semi")

@@ -12,6 +12,13 @@ TOOLS = ["web_search", "web_fetch"]
 MEASURED, COMPACTION = "measured", "compaction-estimate"
 MODEL_TOKENS = "struct<input: bigint, cache_write: bigint, cache_read: bigint, output: bigint>"
 
+SCHEMA = (
+    "commit string, session_id string, agent string, kind string, activity string, models array<string>, turns bigint, "
+    + ", ".join(f"{c} bigint" for c in [*TOKENS, "billable_input", *TOOLS])
+    + f", by_model map<string, {MODEL_TOKENS}>, wall_clock_s double, ts_lo timestamp, ts_hi timestamp, commit_ts timestamp, "
+    "recorded_at timestamp, boundary_ts timestamp, peak_context_tokens bigint, summary_chars bigint, repo string"
+)
+
 
 def span_seconds(lo: Column, hi: Column) -> Column:
     """Seconds between two times to one decimal; null if either is missing."""

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watttrail.operators.ledger import COMPACTION, TOKENS, TOOLS
+from watttrail.operators.ledger import COMPACTION, MEASURED, TOKENS, TOOLS
 
 KINDS = [*TOKENS, "billable_input"]
 
@@ -85,10 +85,13 @@ def report(ledger: DataFrame, by: str) -> DataFrame:
         return by_model(ledger).select(
             F.col("model").alias("key"), F.lit(0).cast("long").alias("turns"), *KINDS, F.lit(0.0).alias("wall_clock_s"), F.col("model").alias("models")
         )
-    # few combinations of models, so the set stays small
-    listed = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("models")))), ",")
-    sums = [_sum("turns").alias("turns"), *_token_sums(), _wall().alias("wall_clock_s"), listed.alias("models")]
-    return measured.withColumn("key", report_key(by)).groupBy("key").agg(*sums)
+    # a row's figures go with its first model, so that models and figures are summed in one pass
+    figures = ["turns", "wall_clock_s", *KINDS]
+    rows = measured.select(report_key(by).alias("key"), *figures, F.posexplode_outer("models").alias("_pos", "_model"))
+    first = F.coalesce("_pos", F.lit(0)) == 0
+    split = rows.groupBy("key", "_model").agg(*(F.sum(F.when(first, F.col(c))).alias(c) for c in figures)).withColumn("kind", F.lit(MEASURED))
+    listed = F.array_join(F.array_sort(F.collect_set("_model")), ",")
+    return split.groupBy("key").agg(_sum("turns").alias("turns"), *_token_sums(), _wall().alias("wall_clock_s"), listed.alias("models"))
 
 
 def fleet(ledger: DataFrame) -> DataFrame:

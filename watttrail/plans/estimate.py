@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from watttrail.functions import interval as iv
 from watttrail.operators.ledger import TOKENS
 from watttrail.operators.report import is_compaction
-from watttrail.plans.packs import PRICES, RATES, Pack, constant
+from watttrail.plans.packs import DESCRIPTIVE, PRICES, RATES, Pack, constant
 
 METRICS = ["inference_seconds", "energy_kwh", "carbon_gco2e", "electricity_cost_usd", "api_cost_usd"]
 DIGITS = {"energy_kwh": 6, "carbon_gco2e": 3, "api_cost_usd": 4, "electricity_cost_usd": 4, "inference_seconds": 3}
@@ -87,6 +87,13 @@ def with_grid(rows: DataFrame, pack: Pack, region: str | None = None, day: str =
     return joined.withColumn("grid", F.coalesce("intensity", iv.const(pack.series[0][1]))).drop("valid_from", "valid_to", "intensity")
 
 
+def with_region_grid(rows: DataFrame, pack: Pack, region: str = "region") -> DataFrame:
+    """Adds ``grid`` of each row's own region; a region that the pack does not know is an error."""
+    known = F.broadcast(pack.region_table(rows.sparkSession)).withColumnsRenamed({"region": region, "intensity": "grid"})
+    missing = F.raise_error(F.concat(F.lit("unknown region "), F.coalesce(region, F.lit("null")))).cast(iv.TYPE)
+    return rows.join(known, region, "left").withColumn("grid", F.coalesce("grid", missing))
+
+
 def _sum(*parts: Column) -> Column:
     return reduce(iv.add, parts)
 
@@ -155,18 +162,34 @@ def rounded(total: DataFrame, bound: str = "central") -> list[Column]:
 
 
 def report(ledger: DataFrame, pack: Pack, region: str | None = None) -> DataFrame:
-    """Rounded central totals in one row, with what they rest on."""
-    sums = totals(estimate(ledger, pack, region))
+    """The estimate: a row for the total (``model`` null) and one for each model, with what they rest on.
+
+    Each metric has its rounded central value and, as ``<metric>_low`` and ``_high``, its bounds.
+    Server tools belong to the total alone.
+    """
+    rows = estimate(ledger, pack, region)
+    models = rows.where("kind <> 'tool'").groupBy("model").agg(*(c for m in METRICS for c in iv.total(m)))
+    both = totals(rows).withColumn("model", F.lit(None).cast("string")).unionByName(models)
     through = ledger.agg(F.date_format(F.max("recorded_at"), "yyyy-MM-dd'T'HH:mm:ss").alias("through"))
     basis = f"region {region}" if region else "time series" if pack.series else "scalar"
-    return sums.select(
-        *rounded(sums),
+    grid = pack.region(region) if region else None if pack.series else pack.grid
+    return both.select(
+        F.when(F.col("model").isNull(), "total").otherwise("model").alias("scope"),
+        "model",
+        *rounded(both),
+        *(F.round(F.col(f"{m}_{b}"), 12).alias(f"{m}_{b}") for m in METRICS for b in ("low", "high")),
         F.lit(pack.version).alias("pack_version"),
+        F.lit(pack.document.get("description")).alias("pack_description"),
+        F.lit(pack.document.get("disclaimer")).alias("disclaimer"),
         F.lit(pack.sha256).alias("assumptions_sha256"),
         F.lit(pack.energy_model).alias("energy_model"),
+        F.lit(pack.pue[1]).alias("pue"),
+        F.lit(region).alias("region"),
         F.lit(basis).alias("grid_model"),
+        F.lit(None if grid is None else grid[1]).cast("double").alias("grid_gco2e_per_kwh"),
         F.lit(pack.has_bounds()).alias("has_bounds"),
-    ).join(through)  # one row each
+        pack.provenance_column().alias("provenance"),
+    ).join(F.broadcast(through))  # one row
 
 
 def mitigation(carbon_total: DataFrame, scenarios: DataFrame) -> DataFrame:
@@ -187,4 +210,5 @@ def mitigation(carbon_total: DataFrame, scenarios: DataFrame) -> DataFrame:
         iv.mul(high, F.col("price")).alias("cover_high_usd"),
         F.col("adjusted").alias("adjusted_tonnes"),
         F.when(F.col("adjusted").isNotNull(), iv.mul(F.col("adjusted"), F.col("price"))).alias("adjusted_usd"),
+        *(c for c in DESCRIPTIVE if c in scenarios.columns),
     )

@@ -14,7 +14,7 @@ from watttrail.operators import ledger as ledgers
 from watttrail.operators import quality, report
 from watttrail.operators import turns as ops
 from watttrail.plans import derive
-from watttrail.session import new_path, table
+from watttrail.session import new_path, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -88,7 +88,7 @@ _LATEST = """select repo, commit, session_id, agent, kind, strftime(boundary_ts,
 
 @query(f"{_LATEST}")
 def win_ledger_latest(spark, sf_dir):
-    rows = ledgers.latest_rows(_versions(derive.ledger(spark, sf_dir)))
+    rows = ledgers.latest_rows(_versions(stage(derive.ledger(spark, sf_dir), "ledger")))
     shown_boundary = F.date_format("boundary_ts", "yyyy-MM-dd HH:mm:ss").alias("boundary_ts")
     return rows.select("repo", "commit", "session_id", "agent", "kind", shown_boundary, "output", "peak_context_tokens")
 
@@ -96,7 +96,7 @@ def win_ledger_latest(spark, sf_dir):
 @query("select repo, count(*) as n, sum(output)::bigint + 9 * count(*) filter (where kind = 'measured' and repo in ('repo1', 'repo2')) as output from ledger group by repo")
 def set_union_sources(spark, sf_dir):
     """Ledger files and notes are read together; the later source wins a tie."""
-    rows = _versions(derive.ledger(spark, sf_dir))
+    rows = _versions(stage(derive.ledger(spark, sf_dir), "ledger"))
     files, notes = rows.where("src_order = 0"), rows.where("src_order = 1")
     both = ops.union_sources([files, notes])
     return ledgers.latest_rows(both).groupBy("repo").agg(F.count("*").alias("n"), F.sum("output").alias("output"))
@@ -114,12 +114,6 @@ def jn_new_compactions(spark, sf_dir):
     return at.new_compactions(found, known).select("repo", "session_id", F.date_format("boundary_ts", "yyyy-MM-dd HH:mm:ss").alias("boundary_ts"))
 
 
-@query("select repo, commit, session_id, output from measured where not (repo in ('repo0', 'repo7') and agent = 'codex')")
-def jn_already_recorded(spark, sf_dir):
-    rows = derive.measured(spark, sf_dir)
-    return at.not_recorded(rows, rows.where("repo in ('repo0', 'repo7') and agent = 'codex'")).select("repo", "commit", "session_id", "output")
-
-
 _SESSIONS_SQL = """select distinct 's' || user_id session_id, user_id,
   '/src/repo' || (user_id % 10) || case when user_id % 7 = 0 then '0' else '' end || '/pkg' || (user_id % 4) cwd from events"""
 
@@ -135,6 +129,41 @@ def _repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr("concat('/src/repo', user_id % 10) root", "concat('repo', user_id % 10) repo").distinct()
 
 
+_BOOKED_SQL = """, known as (select repo, session_id, max(boundary_ts) mark from compactions where turn % 2 = 0 and conv_id % 3 = 0 group by all)
+select c.repo, c.session_id, strftime(boundary_ts, '%Y-%m-%d %H:%M:%S') as boundary_ts, m.sha
+from (select c.* from compactions c left join known k using (repo, session_id) where mark is null or boundary_ts > mark) c
+asof left join marks m on c.repo = m.repo and c.boundary_ts <= m.commit_ts"""
+
+
+@query(_BOOKED_SQL)
+def flt_compaction_window(spark, sf_dir):
+    """Compactions booked to the next commit, after the marks that a third of the sessions have in the ledger."""
+    found = derive.compactions(spark, sf_dir)
+    known = found.where("cast(substring(session_id, 2) as bigint) % 3 = 0 and (unix_seconds(boundary_ts) - unix_seconds(timestamp'2024-01-01')) % 2 = 0")
+    ledger = known.select("repo", "session_id", "boundary_ts", F.col("boundary_ts").alias("ts_hi"))
+    return at.compactions_of_commits(found, derive.commits(spark, sf_dir), ledger).select("repo", "session_id", F.date_format("boundary_ts", "yyyy-MM-dd HH:mm:ss").alias("boundary_ts"), "sha")
+
+
+@query(
+    f"""with s as ({_SESSIONS_SQL}), r as (select distinct '/src/repo' || (user_id % 10) root from events)
+    select distinct session_id, root from s join r on (user_id % 3 > 0 and (cwd = root or starts_with(cwd, root || '/')))
+      or (user_id % 3 < 2 and root = '/src/repo' || (user_id % 10))""",
+    prelude=False,
+)
+def jn_filed_sessions(spark, sf_dir):
+    """A third of the sessions name no directory and are filed under their root, a third have both, a third the directory alone."""
+    rows = _sessions(spark, sf_dir).selectExpr(
+        "session_id", "if(user_id % 3 > 0, cwd, null) cwd", "regexp_replace(if(user_id % 3 < 2, concat('/src/repo', user_id % 10), cwd), '[^A-Za-z0-9-]', '-') project"
+    )
+    return at.filed_sessions_in_repos(rows, _repos(spark, sf_dir).select("root")).select("session_id", "root")
+
+
+@query("select repo, commit, session_id, output from measured where not (repo in ('repo0', 'repo7') and agent = 'codex')")
+def jn_already_recorded(spark, sf_dir):
+    rows = derive.measured(spark, sf_dir)
+    return at.not_recorded(rows, rows.where("repo in ('repo0', 'repo7') and agent = 'codex'")).select("repo", "commit", "session_id", "output")
+
+
 @query(
     f"""with s as ({_SESSIONS_SQL}), r as (select distinct '/src/repo' || (user_id % 10) root from events)
     select session_id, cwd, root from s join r on cwd = root or starts_with(cwd, root || '/')""",
@@ -383,7 +412,7 @@ _KEPT = "repo, commit, session_id, agent, kind, activity, turns, input, cache_wr
 def snk_ledger_roundtrip(spark, sf_dir):
     """Appended in two parts, the first of them twice, and read back."""
     path = new_path(spark, "ledger")
-    rows = derive.ledger(spark, sf_dir)
+    rows = stage(derive.ledger(spark, sf_dir), "rows")
     ledgers.append(rows.where("agent = 'codex'"), path)
     ledgers.append(rows, path)
     return ledgers.read(spark, path).select(*_KEPT.split(", "), F.array_join("models", ",").alias("models"))
@@ -461,13 +490,6 @@ def srt_latest_session(spark, sf_dir):
     return latest_transcript(sessions.withColumn("path", F.col("session_id")), ["agent", "repo"]).select("agent", "repo", "session_id")
 
 
-@query("select agent, model, count(*) as turns, sum(output)::bigint as output from turns group by all")
-def set_union_backends(spark, sf_dir):
-    raw = derive.records(spark, sf_dir)
-    parts = [ops.dedup_turns(raw.where(F.col("agent") == a)) for a in ("claude-code", "codex", "opencode")]
-    return ops.union_sources(parts).groupBy("agent", "model").agg(F.count("*").alias("turns"), F.sum("output").alias("output"))
-
-
 @query("""select * exclude (s), round(s, 9) as share from (select repo, commit, session_id, agent, model,
     (input + cache_write + cache_read + output) / sum(input + cache_write + cache_read + output) over (partition by repo, commit, session_id, agent) s
     from row_model)""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from watttrail.functions import interval as iv
 from watttrail.plans import derive
 from watttrail.plans import estimate as est
-from watttrail.plans.packs import GENERIC_WIDE, PRICES, SCENARIOS, Pack, energy_mix, pack_of_mix, scenario_table
+from watttrail.plans.packs import GENERIC_WIDE, PRICES, SCENARIOS, Pack, energy_mix, load, pack_of_mix, read_document, scenario_table
 from watttrail.session import new_path, stage, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -110,12 +110,24 @@ def agg_estimate_by_model(spark, sf_dir):
     return sums.select("model", *est.rounded(sums))
 
 
-@query(_BASE_SQL + f"""select round((select sum(kwh) from costed) + (select sum(kwh) from tools), 6) as energy_kwh,
-    round((select sum(usd) from costed), 4) as api_cost_usd, '{derive.PACK.version}' as pack_version, '{derive.PACK.sha256}' as assumptions_sha256,
-    'scalar' as grid_model, false as has_bounds, (select strftime(max(recorded_at), '%Y-%m-%dT%H:%M:%S') from ledger) as through""")
+#: The pack with a range for its overhead.
+RANGED = Pack.of({**derive.PACK.document, "pue": [1.0, 1.2, 2.4]})
+
+
+@query(_BASE_SQL + f""", meta as (select (select strftime(max(recorded_at), '%Y-%m-%dT%H:%M:%S') from ledger) as through),
+    scopes as (select 'total' as scope, null as model, (select sum(kwh) from costed) m, (select sum(kwh) from tools) t, (select sum(usd) from costed) usd
+      union all select 'model', model, sum(kwh), 0e0, sum(usd) from costed group by model)
+    select scope, model, round(m + t, 6) as energy_kwh, round(m / 1.2e0 + t, 6) as energy_kwh_low, round(m * 2 + t, 6) as energy_kwh_high,
+    round((m + t) * 475, 2) as carbon_gco2e, round(usd, 4) as api_cost_usd, '{derive.PACK.version}' as pack_version, '{RANGED.sha256}' as assumptions_sha256,
+    'scalar' as grid_model, 475e0 as grid_gco2e_per_kwh, true as has_bounds, 'grid,energy,pricing' as sources, through from scopes, meta""")
 def mod_estimate_report(spark, sf_dir):
-    found = est.report(stage(derive.ledger(spark, sf_dir), "ledger"), derive.PACK)
-    return found.select("energy_kwh", "api_cost_usd", "pack_version", "assumptions_sha256", "grid_model", "has_bounds", "through")
+    found = est.report(stage(derive.ledger(spark, sf_dir), "ledger"), RANGED)
+    bounds = [F.round(f"energy_kwh_{b}", 6).alias(f"energy_kwh_{b}") for b in ("low", "high")]
+    sources = F.array_join(F.transform("provenance", lambda p: p["applies_to"]), ",").alias("sources")
+    return found.select(
+        "scope", "model", "energy_kwh", *bounds, F.round("carbon_gco2e", 2).alias("carbon_gco2e"), "api_cost_usd", "pack_version", "assumptions_sha256",
+        "grid_model", "grid_gco2e_per_kwh", "has_bounds", sources, "through",
+    )
 
 
 @query(_BASE_SQL + """select model, day, wh_output, wh_input, p_in as price_input, p_cw as price_cache_write, p_cr as price_cache_read, p_out as price_output from rated""")
@@ -162,23 +174,56 @@ def src_energy_mix(spark, sf_dir):
 
 @query(_MIX_SQL + "select s_suppkey, intensity from supplier join mix on region = 'N' || s_nationkey", prelude=False)
 def jn_grid_region(spark, sf_dir):
+    """Suppliers of the regions in the mix; one of another region would be an error."""
     pack = pack_of_mix(spark, _mix_file(spark, sf_dir))
-    placed = table(spark, sf_dir, "supplier").withColumn("region", F.concat(F.lit("N"), "s_nationkey"))
-    return placed.join(F.broadcast(pack.region_table(spark)), "region").select("s_suppkey", F.col("intensity.central").alias("intensity"))
+    placed = table(spark, sf_dir, "supplier").where("s_nationkey % 7 <> 3").withColumn("region", F.concat(F.lit("N"), "s_nationkey"))
+    return est.with_region_grid(placed, pack).select("s_suppkey", F.col("grid.central").alias("intensity"))
+
+
+def _pack_file(spark, sf_dir):
+    """A pack as a JSON document: a price for each type of event, a grid figure for each day of events."""
+    e = table(spark, sf_dir, "events")
+    price = F.struct(F.struct((F.length("event_type") * 1.5).alias("output")).alias("pricing_usd_per_mtok"))
+    models = e.select("event_type").distinct().agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("m-"), "event_type").alias("key"), price.alias("value")))).alias("models"))
+    day = F.date_format("ts", "yyyy-MM-dd")
+    dates = e.select(day.alias("from"), (F.dayofmonth("ts") * 10).alias("gco2e_per_kwh")).distinct()  # a row a day
+    series = dates.agg(F.collect_list(F.struct("from", "gco2e_per_kwh")).alias("intensity_by_date")).select(F.struct("intensity_by_date").alias("grid"))
+    sources = F.array(F.struct(F.lit("grid").alias("applies_to"), F.lit("days").alias("source")), F.struct(F.lit("pricing").alias("applies_to"), F.lit("types").alias("source")))
+    document = models.join(F.broadcast(series)).withColumns({"pack_version": F.lit("derived"), "provenance": sources})  # one row each
+    path = new_path(spark, "pack")
+    document.select(F.to_json(F.struct(*document.columns)).alias("value")).write.text(path)
+    return path
 
 
-@query("""select kind, name, n from (values ('model', 'm-click', 1), ('model', 'm-view', 1), ('grid', '2024-01-05', 1), ('grid', '', 0),
-    ('provenance', 'grid', 1), ('provenance', 'energy', 1), ('provenance', 'pricing', 1)) t(kind, name, n) where n = 1
-    union all select 'used', 'm-' || event_type, count(*) from events where event_type in ('view', 'click') group by event_type""", prelude=False)
+@query("""with d as (select distinct ts::date d from events)
+    select 'model' as kind, 'm-' || event_type as name, length(event_type) * 1.5e0 as value from events group by event_type
+    union all select 'grid', case when d = (select min(d) from d) then '' else strftime(d, '%Y-%m-%d') end, day(d) * 10e0 from d
+    union all select 'provenance', unnest(['grid', 'pricing']), null""", prelude=False)
 def src_pack_tables(spark, sf_dir):
-    """The tables of a pack, and how many events use each model that it names."""
-    pack = derive.DATED
-    models = pack.model_table(spark).select(F.lit("model").alias("kind"), F.col("model").alias("name"), F.lit(1).cast("long").alias("n"))
-    grid = pack.grid_table(spark).where("valid_to <> '~'").select(F.lit("grid"), F.lit("2024-01-05"), F.lit(1).cast("long"))
-    sources = pack.provenance_table(spark).select(F.lit("provenance"), "applies_to", F.lit(1).cast("long"))
-    names = pack.model_table(spark).select("model")
-    used = table(spark, sf_dir, "events").select(F.concat(F.lit("m-"), "event_type").alias("model")).join(F.broadcast(names), "model")
-    return models.union(grid).union(sources).union(used.groupBy(F.lit("used"), "model").agg(F.count("*")))
+    """The tables of a pack that is read from a document."""
+    pack = load(spark, _pack_file(spark, sf_dir))
+    models = pack.model_table(spark).select(F.lit("model").alias("kind"), F.col("model").alias("name"), F.col("price_output.central").alias("value"))
+    grid = pack.grid_table(spark).select(F.lit("grid"), "valid_from", "intensity.central")
+    return models.union(grid).union(pack.provenance_table(spark).select(F.lit("provenance"), "applies_to", F.lit(None).cast("double")))
+
+
+def _scenario_file(spark, sf_dir):
+    """Price scenarios as a JSON document: one a region, the last without a price."""
+    said = F.struct(
+        F.concat(F.lit("credit of "), "r_name").alias("instrument"), F.when(F.col("r_regionkey") < 4, F.array(F.col("r_regionkey") + 1.0, F.col("r_regionkey") * 2 + 2.0, F.lit(90.0))).alias("usd_per_tco2e"),
+        F.lower("r_name").alias("credit_category"), F.lit("long").alias("durability"), F.lower("r_name").alias("notes"),
+    )
+    listed = table(spark, sf_dir, "region").agg(F.map_from_entries(F.collect_list(F.struct("r_name", said))).alias("price_scenarios"))  # five regions
+    path = new_path(spark, "scenarios")
+    listed.select(F.to_json(F.struct("price_scenarios")).alias("value")).write.text(path)
+    return path
+
+
+@query("""select r_name as scenario, 'credit of ' || r_name as instrument, r_regionkey + 1e0 as low, r_regionkey * 2 + 2e0 as central,
+    lower(r_name) as credit_category, 'long' as durability, lower(r_name) as notes from region where r_regionkey < 4""", prelude=False)
+def src_mitigation_scenarios(spark, sf_dir):
+    rows = scenario_table(spark, read_document(spark, _scenario_file(spark, sf_dir))["price_scenarios"])
+    return rows.select("scenario", "instrument", F.col("price.low").alias("low"), F.col("price.central").alias("central"), "credit_category", "durability", "notes")
 
 
 @query("""select l_orderkey, l_linenumber, l_quantity::double <= l_extendedprice::double and l_quantity > 0 and l_tax::double * 100 <= l_quantity::double as valid from lineitem""", prelude=False)

@@ -153,10 +153,17 @@ class Pack:
     def region_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.regions.items()), f"region string, intensity {interval.TYPE}")
 
-    def provenance_table(self, spark: SparkSession) -> DataFrame:
+    def _provenance(self) -> list[tuple]:
         given = self.document.get("provenance") or []
-        rows = [tuple(p.get(c) for c in PROVENANCE) for p in ([given] if isinstance(given, dict) else given)]
-        return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in PROVENANCE))
+        return [tuple(p.get(c) for c in PROVENANCE) for p in ([given] if isinstance(given, dict) else given)]
+
+    def provenance_table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self._provenance(), ", ".join(f"{c} string" for c in PROVENANCE))
+
+    def provenance_column(self) -> Column:
+        """The sources as a constant list of structs."""
+        rows = [F.struct(*(F.lit(v).cast("string").alias(c) for c, v in zip(PROVENANCE, row, strict=True))) for row in self._provenance()]
+        return F.array(*rows)
 
 
 def read_document(spark: SparkSession, path: str) -> dict:
@@ -199,8 +206,18 @@ def load(spark: SparkSession, spec: str) -> Pack:
     return ADAPTERS[adapter](spark, ref)
 
 
+#: What a price scenario may say beside its figures; fixed keys of the document.
+DESCRIPTIVE = [
+    "description", "credit_category", "removal_pathway", "storage_medium", "durability", "delivery", "uncertainty_profile",
+    "claim_guidance", "effectiveness_basis", "provider", "source", "price_checked_at", "notes",
+]
+
+
 def scenario_table(spark: SparkSession, scenarios: dict = SCENARIOS) -> DataFrame:
-    """``(scenario, instrument, price, effective)`` by name; entries without a price are left out."""
+    """``(scenario, instrument, price, effective, ...)`` by name, with what a scenario says of itself.
+
+    Entries without a price are left out.
+    """
     rows = []
     for name, spec in sorted(scenarios.items()):
         if isinstance(spec, dict) and spec.get("usd_per_tco2e") is not None:
@@ -208,8 +225,10 @@ def scenario_table(spark: SparkSession, scenarios: dict = SCENARIOS) -> DataFram
             effective = None if effective is None else interval.bounds(effective)
             if effective is not None and effective[0] <= 0:
                 raise ValueError(f"effectiveness of {name!r} must be positive")
-            rows.append((name, spec.get("instrument"), interval.bounds(spec["usd_per_tco2e"]), effective))
-    return spark.createDataFrame(rows, f"scenario string, instrument string, price {interval.TYPE}, effective {interval.TYPE}")
+            said = [None if spec.get(c) is None else str(spec[c]) for c in DESCRIPTIVE]
+            rows.append((name, spec.get("instrument"), interval.bounds(spec["usd_per_tco2e"]), effective, *said))
+    kinds = f"scenario string, instrument string, price {interval.TYPE}, effective {interval.TYPE}"
+    return spark.createDataFrame(rows, ", ".join([kinds, *(f"{c} string" for c in DESCRIPTIVE)]))
 
 
 def constant(bounds: Bounds | None) -> Column:

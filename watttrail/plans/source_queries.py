@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from watttrail.functions import wire
 from watttrail.operators import ledger as ledgers
-from watttrail.operators.turns import dedup_turns
+from watttrail.operators.turns import dedup_turns, union_sources
 from watttrail.plans import derive
 from watttrail.session import new_path, stage
 from watttrail.sources import agents
@@ -32,21 +32,20 @@ def _iso(ts: str = "ts") -> Column:
 
 
 def _write(lines: DataFrame, path: str, by: list[str], order: list[str]) -> None:
-    """A file of lines, in order, for each value of ``by``: a session, which is one file everywhere."""
-    ordered = F.array_sort(F.collect_list(F.struct(*order, "value")))
-    rows = lines.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: x["value"]), "\n").alias("value"))
-    rows.write.partitionBy(*by).text(path)
+    """Files of lines in a folder for each value of ``by``, which is a session.
 
-
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    """Lines whose session is the directory the writer named after it."""
-    return read_lines(spark, path).withColumn("path", F.regexp_replace("path", "sid=([^/]+)/(?:kind=(?:main/)?)?", "$1/"))
+    Range partitioning puts a session's lines into files whose names follow their order, so a
+    long session is spread over tasks.
+    """
+    ordered = lines.repartitionByRange(*by, *order, "value").sortWithinPartitions(*by, *order, "value")
+    ordered.select(*by, "value").write.partitionBy(*by).text(path)
 
 
-def _as_session(records: DataFrame) -> DataFrame:
-    sid = F.regexp_extract("path", r"/(s\d+)/", 1)
-    order = F.when(F.col("path").contains("/subagents/"), F.col("path")).otherwise("")
-    return records.withColumns({"session_id": sid, "file_order": order})
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with the session that their folder names and the order of its files."""
+    kind = F.when(F.col("path").contains("/kind=subagents/"), "1").otherwise("0")
+    lines = read_lines(spark, path)
+    return lines.withColumns({"session_id": F.regexp_extract("path", r"/sid=([^/]+)/", 1), "file_order": F.concat(kind, F.col("path"))})
 
 
 def _claude_lines(rows: DataFrame) -> DataFrame:
@@ -78,7 +77,7 @@ def _sums(turns: DataFrame, *more: str) -> DataFrame:
 @query(f"{_SUMS}, sum(web_search)::bigint as web_search from turns where agent = 'claude-code' group by all")
 def src_claude_turns(spark, sf_dir):
     lines = _read(spark, _claude_log(spark, sf_dir))
-    return _sums(dedup_turns(_as_session(agents.claude_records(lines))), "web_search")
+    return _sums(dedup_turns(agents.claude_records(lines)), "web_search")
 
 
 @query(f"{_SUMS} from turns where agent = 'claude-code' group by all")
@@ -86,7 +85,7 @@ def src_subagent_union(spark, sf_dir):
     """Every fourth message is logged by a sub-agent, in a file of its own below the session's."""
     kind = F.when(F.col("msg_id").cast("bigint") % 4 == 0, "subagents").otherwise("main")
     lines = _read(spark, _claude_log(spark, sf_dir, kind))
-    return _sums(dedup_turns(_as_session(agents.claude_records(lines))))
+    return _sums(dedup_turns(agents.claude_records(lines)))
 
 
 _CODEX_SQL = """, c as (select session_id, model, event_id, ts, input, cache_read, output,
@@ -111,7 +110,7 @@ def _codex_log(spark: SparkSession, sf_dir: str) -> str:
 
 @query(_CODEX_SQL + "select session_id, model, count(*) as turns, sum(input)::bigint as input, 0::bigint as cache_write, sum(cache_read)::bigint as cache_read, sum(output)::bigint as output from d group by all")
 def src_codex_turns(spark, sf_dir):
-    return _sums(dedup_turns(_as_session(agents.codex_records(_read(spark, _codex_log(spark, sf_dir))))))
+    return _sums(dedup_turns(agents.codex_records(_read(spark, _codex_log(spark, sf_dir)))))
 
 
 @query("select msg_id, greatest(input, 0) as input, cache_read, output from turns where agent = 'codex'")
@@ -144,21 +143,33 @@ def prj_opencode_usage(spark, sf_dir):
     return rows.select("msg_id", "input", "output", "cache_write", "cache_read", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("ts"))
 
 
+@query(_CODEX_SQL + """select agent, model, count(*) as turns, sum(output)::bigint as output from (select agent, model, output from turns where agent = 'claude-code'
+    union all select 'codex', model, output from d union all select agent, model, output from turns where agent = 'opencode' and event_id % 11 <> 0) group by all""")
+def set_union_backends(spark, sf_dir):
+    """Turns of three agents, each read from its own kind of log."""
+    path = new_path(spark, "opencode")
+    _opencode_messages(spark, sf_dir).write.parquet(f"{path}/message")
+    claude = agents.claude_records(_read(spark, _claude_log(spark, sf_dir)))
+    codex = agents.codex_records(_read(spark, _codex_log(spark, sf_dir)))
+    both = union_sources([dedup_turns(rows) for rows in (claude, codex, agents.opencode_turns(spark, path))])
+    return both.groupBy("agent", "model").agg(F.count("*").alias("turns"), F.sum("output").alias("output"))
+
+
 @query("""select session_id, count(*) as readable, count(*) filter (where event_id % 6 = 0) as corrupt from raw where agent = 'claude-code' group by session_id""")
 def src_corrupt_lines(spark, sf_dir):
-    """A torn copy follows every sixth message's line, and each file ends with an empty line."""
+    """A torn copy follows every sixth message's line."""
     rows = _claude_lines(derive.records(spark, sf_dir).where("agent = 'claude-code'"))
     torn = rows.where(F.col("msg_id").cast("bigint") % 6 == 0).withColumn("value", F.substring("value", 1, 20))
     path = new_path(spark, "torn")
     _write(rows.unionByName(torn), path, ["sid"], ["ts"])
-    found = corrupt_lines(_read(spark, path))
-    return found.select(F.regexp_extract("path", r"/(s\d+)/", 1).alias("session_id"), "readable", "corrupt")
+    found = corrupt_lines(_read(spark, path)).groupBy(F.regexp_extract("path", r"/sid=(s\d+)/", 1).alias("session_id"))
+    return found.agg(F.sum("readable").alias("readable"), F.sum("corrupt").alias("corrupt"))
 
 
 def _ledger_files(spark: SparkSession, rows: DataFrame) -> str:
     """Ledger lines in a folder for each repository."""
     path = new_path(spark, "fleet")
-    wire.encode(rows).repartition("repo").write.partitionBy("repo").text(path)
+    wire.encode(rows).repartitionByRange("repo", "value").write.partitionBy("repo").text(path)
     return path
 
 
@@ -173,12 +184,13 @@ def src_ledger_scan(spark, sf_dir):
 
 @query("select 'repo=' || repo as repo, count(*) as n, sum(output)::bigint as output from ledger group by all")
 def src_fleet_scan(spark, sf_dir):
-    """Ledgers found below a root; a copy inside a virtual environment does not count."""
+    """Ledgers and exported notes found below a root; a copy inside a virtual environment does not count."""
     path = new_path(spark, "roots")
     lines = stage(wire.encode(derive.ledger(spark, sf_dir)), "lines")
     for k in range(10):  # the ten repositories of the derived data
-        own = lines.where(F.col("repo") == f"repo{k}").select("value").coalesce(1)
-        own.write.text(f"{path}/repo=repo{k}/.usage/ledger")
+        own = lines.where(F.col("repo") == f"repo{k}").select("value")
+        deep = "/a/b/c/d/e" if k % 2 else ""
+        own.write.text(f"{path}{deep}/repo=repo{k}/.usage/{'notes' if k > 7 else 'ledger'}")
         if k < 2:
             own.write.text(f"{path}/repo=repo{k}/.venv/.usage/ledger")
     rows = fleet_lines(spark, path)

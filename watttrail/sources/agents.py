@@ -81,7 +81,7 @@ def codex_records(lines: DataFrame) -> DataFrame:
     """Token-count events, which report the last call alone; the model comes from the last context."""
     rows = parsed(with_file_order(lines)).where("v is not null")
     named = F.when(get("$.type") == "turn_context", text_or(get("$.payload.model")))
-    rows = rows.withColumn("model", F.coalesce(carry_forward(named, ["path"], ["line_no"]), F.lit("?")))
+    rows = rows.withColumn("model", F.coalesce(carry_forward(named, ["session_id"], ["file_order", "path", "line_no"]), F.lit("?")))
     rows = rows.withColumn("u", get("$.payload.info.last_token_usage", "variant"))
     rows = rows.where((get("$.payload.type") == "token_count") & F.schema_of_variant("u").startswith("OBJECT") & (text_or(get("$.timestamp")) != ""))
     total, cached, out = (amount(f"$.{c}", of="u") for c in ("input_tokens", "cached_input_tokens", "output_tokens"))

@@ -1,4 +1,4 @@
-"""Files as numbered lines: in transcripts the order of lines has meaning."""
+"""Files as lines in order: in transcripts the order of lines has meaning."""
 
 from __future__ import annotations
 
@@ -7,15 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Splits of a file are at least this long, so each has a number of its own.
+_LEAST_SPLIT = 1 << 20
+_IN_SPLIT = (1 << 33) - 1
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(path, mtime, line_no, value)`` for every line that is not blank, numbered from 0.
+    """``(path, mtime, line_no, value)`` for every line that is not blank.
 
-    A file is one row while it is read (2 GB at most), so work is spread by file; a transcript
-    is one session.
+    ``line_no`` rises through a file: it holds the split's number and the line's place among those
+    of the reading task, as ``monotonically_increasing_id`` gives it. Files of any size are read
+    in splits; only a line must fit a row. ``spark.sql.files.openCostInBytes``, which bounds the
+    length of splits from below, must not be set under a megabyte.
     """
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    named = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), "value")
-    lines = named.select("path", "mtime", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+    files = spark.read.option("recursiveFileLookup", True).text(path)
+    number = F.shiftleft(F.floor(F.col("_metadata.file_block_start") / _LEAST_SPLIT), 33)
+    lines = files.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_modification_time").alias("mtime"),
+        (number + F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_SPLIT))).alias("line_no"),
+        "value",
+    )
     return lines.where(F.trim("value") != "")
 
 
@@ -55,6 +67,8 @@ def session_of(path: Column) -> Column:
 
 
 def with_file_order(lines: DataFrame) -> DataFrame:
-    """Adds ``session_id`` and ``file_order``: the main file, then the sub-agents' by name."""
+    """Adds ``session_id`` and ``file_order`` (the main file, then the sub-agents' by name), unless given."""
+    if {"session_id", "file_order"} <= set(lines.columns):
+        return lines
     order = F.when(F.col("path").contains("/subagents/"), F.col("path")).otherwise("")
     return lines.withColumn("session_id", session_of(F.col("path"))).withColumn("file_order", order)

@@ -1,8 +1,8 @@
-"""Structured Streaming forms: incremental recording, claims, late turns and duplicates.
+"""Structured Streaming forms: incremental recording, sweeps, claims, late turns and repeats.
 
-Turns are idempotent by their message and ledger rows by their identity, so a replayed batch
-changes nothing: each batch appends its turns, then writes the whole row of every session and
-commit that it touched, built from all turns so far.
+The caller owns the checkpoint folder, so a stream that is started again goes on where it stopped
+and its batch numbers keep rising. What a batch writes replaces what the same batch wrote before
+a failure, and of two versions of a ledger row that of the later batch counts.
 """
 
 from __future__ import annotations
@@ -10,52 +10,108 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from watttrail.operators import ledger as ledgers
-from watttrail.operators.attribution import commit_label, next_boundary
-from watttrail.operators.turns import dedup_turns
-from watttrail.session import new_path
+from watttrail.operators.attribution import commit_label, next_boundary, pending_sweep
+from watttrail.operators.turns import dedup_turns, last_wins
+from watttrail.session import stage
 
+#: Sessions are spread over this many folders of the turns table.
+BUCKETS = 256
+_ROW = ["repo", "session_id", "agent", "commit"]
 
-def run_available(stream: DataFrame, batch: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Runs a stream over all that is there, batch by batch, to its end."""
-    where = new_path(stream.sparkSession, "progress")
-    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", where).trigger(availableNow=True).start()
+
+def run_available(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Runs a stream over all that is there since ``checkpoint`` was last used, batch by batch."""
+    query = stream.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
-def record(stream: DataFrame, boundaries: DataFrame, turns_path: str, ledger_path: str, sweep_date: str) -> None:
-    """Records a stream of turn records (with ``repo``) into turns and ledger tables.
+def write_batch(rows: DataFrame, number: int, path: str, by: list[str] | None = None) -> None:
+    """Adds a batch to a table; a batch that runs again replaces its own files."""
+    numbered = rows.withColumn("batch", F.lit(number))
+    if by:
+        numbered = numbered.hint("rebalance", *by)  # few files a folder, and a full one is split
+    numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*(by or []), "batch").parquet(path)
+
+
+def record(stream: DataFrame, boundaries: DataFrame, turns_path: str, ledger_path: str, checkpoint: str, folders: int = BUCKETS) -> None:
+    """Records a stream of turn records (with ``repo``) into tables of turns and of ledger rows.
 
-    ``recorded_at`` is a row's last turn, then the number of the batch, so that it never falls and
-    the fuller row of a later batch wins.
+    A batch adds its records to the turns table, then writes the whole row of every session and
+    commit that it touched, built from all of their turns; it reads only the folders of sessions
+    it touched. Turns after the last commit wait for one, or for a ``sweep``; turns that a sweep
+    has booked stay there. ``recorded_at`` is the commit's time. A message whose later record
+    moves it to another commit leaves its former row, which may become a row of no turns.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        fresh = rows.withColumn("batch", F.lit(number))
-        fresh.write.mode("append").partitionBy("batch").parquet(turns_path)
-        everything = spark.read.parquet(turns_path)
-        touched = everything.where(F.col("batch") == number).select("repo", "session_id").distinct()
-        own = everything.join(touched, ["repo", "session_id"], "left_semi").drop("batch")
-        placed = next_boundary(dedup_turns(own), boundaries, ["repo"])
-        booked = placed.withColumn("commit", commit_label(F.lit(sweep_date).cast("date")))
-        at = F.timestamp_seconds(F.unix_seconds(F.lit(sweep_date).cast("timestamp")) + number)
-        ledgers.append(ledgers.measured_rows(booked, at), ledger_path)
-
-    run_available(stream, batch)
+        bucket = F.pmod(F.xxhash64("session_id"), F.lit(folders)).cast("int")
+        write_batch(rows.withColumn("bucket", bucket), number, turns_path, ["bucket"])
+        stored = spark.read.parquet(turns_path)
+        fresh = stored.where(F.col("batch") == number)
+        buckets = [r[0] for r in fresh.select("bucket").distinct().collect()]  # as many as folders at most
+        messages = fresh.select("repo", "session_id", "agent", "msg_id").distinct()
+        sessions = messages.select("repo", "session_id").distinct()
+        own = stored.where(F.col("bucket").isin(buckets)).join(sessions, ["repo", "session_id"], "left_semi").drop("batch", "bucket")
+        own = without_swept(own, read_ledger(spark, ledger_path))
+        own = stage(own, "touched")
+        versions = next_boundary(own.join(messages, ["repo", "session_id", "agent", "msg_id"], "left_semi"), boundaries, ["repo"])
+        touched = versions.where("sha is not null").select(*_ROW[:3], F.col("sha").alias("commit"), "commit_ts").distinct()
+        placed = next_boundary(dedup_turns(own), boundaries, ["repo"]).where("sha is not null").withColumn("commit", F.col("sha"))
+        placed = stage(placed, "placed")
+        whole = ledgers.measured_rows(placed, F.col("commit_ts")).join(touched.select(*_ROW), _ROW, "left_semi")
+        emptied = touched.join(placed, _ROW, "left_anti")
+        zeros = {c: F.lit(0).cast("long") for c in [*ledgers.TOKENS, *ledgers.TOOLS, "turns", "billable_input"]}
+        gone = emptied.withColumns({"kind": F.lit(ledgers.MEASURED), "recorded_at": F.col("commit_ts"), **zeros})
+        write_batch(whole.unionByName(gone, allowMissingColumns=True), number, ledger_path, ["repo"])
+
+    run_available(stream, batch, checkpoint)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The latest version of each row that ``record`` and ``sweep`` wrote; rows left without turns are out."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    kind = f"{ledgers.SCHEMA}, batch long"
+    rows = spark.read.schema(kind).parquet(path) if system.exists(folder) else spark.createDataFrame([], kind)
+    return ledgers.latest_rows(rows.withColumnRenamed("batch", "src_order")).where("turns > 0").drop("src_order")
+
+
+def without_swept(turns: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Turns outside the spans that earlier sweeps booked as pending for their session."""
+    spans = ledger.where(F.col("commit").startswith("pending@")).select("repo", "session_id", "ts_lo", "ts_hi")
+    inside = (turns["repo"] == spans["repo"]) & (turns["session_id"] == spans["session_id"]) & turns["ts"].between(spans["ts_lo"], spans["ts_hi"])
+    return turns.join(spans, inside, "left_anti")
+
+
+def sweep(spark: SparkSession, turns_path: str, ledger_path: str, sweep_date: str, number: int = 0) -> None:
+    """Books what no commit has taken, and no other repository has claimed, as pending at ``sweep_date``.
+
+    ``number`` tells sweeps of one day apart.
+    """
+    ledger = read_ledger(spark, ledger_path)
+    left = pending_sweep(dedup_turns(spark.read.parquet(turns_path).drop("batch", "bucket")), ledger)
+    day = F.lit(sweep_date).cast("date")
+    empty = {"sha": F.lit(None).cast("string"), "commit_ts": F.lit(None).cast("timestamp")}
+    rows = ledgers.measured_rows(left.withColumns(empty).withColumn("commit", commit_label(day)), day.cast("timestamp"))
+    label = int(sweep_date.replace("-", "")) * -100 - number  # no batch has a negative number
+    write_batch(rows, label, ledger_path, ["repo"])
 
 
-def latest_claims(stream: DataFrame, name: str) -> None:
-    """Keeps the latest turn of each session and repository in the in-memory table ``name``."""
+def keep_claims(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Adds to the table at ``path`` each session's and repository's latest turn whenever it rises."""
     claims = stream.groupBy("session_id", "repo").agg(F.max("ts_hi").alias("ts_hi"))
-    where = new_path(stream.sparkSession, "claims")
-    query = claims.writeStream.outputMode("complete").format("memory").queryName(name)
-    query.option("checkpointLocation", where).trigger(availableNow=True).start().awaitTermination()
+    run_available(claims, lambda rows, number: write_batch(rows, number, path), checkpoint, "update")
+
+
+def read_claims(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).groupBy("session_id", "repo").agg(F.max("ts_hi").alias("ts_hi"))
 
 
 class MarkKeeper(StatefulProcessor):
@@ -86,6 +142,17 @@ def drop_late(stream: DataFrame) -> DataFrame:
     )
 
 
-def first_seen(stream: DataFrame, keys: list[str], ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Repeats of a message dropped within a watermark; right where repeats carry equal figures."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+def keep_latest(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> None:
+    """Keeps the last record of each message, by ``file_order`` and ``line_no``, in the table at ``path``.
+
+    A batch adds the last of its own records of each message and ``read_latest`` takes the last of
+    all batches, so records may come in any order and however late, with other figures or without
+    a time. No state grows with the stream.
+    """
+    order = [F.desc("file_order"), F.desc("line_no")]
+    run_available(stream, lambda rows, number: write_batch(last_wins(rows, keys, order), number, path), checkpoint)
+
+
+def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    rows = spark.read.parquet(path)
+    return last_wins(rows, keys, [F.desc("file_order"), F.desc("line_no"), F.desc("batch")]).where("ts is not null").drop("batch")
