@@ -1,13 +1,14 @@
 """Exact deduplication: a two-pass Bloom filter lets rows that surely do not repeat pass straight.
 
-Pass 1 maps the digest of every text to ``HASHES`` bit positions of a filter and keeps the
-positions that were hit more than once. Pass 2 tests every row: one of whose positions was hit
-once is unique and leaves without any exchange; only the others, which may repeat, shuffle to an
-exact comparison by SHA-256. False positives cost work, never results.
-
-The filter is a table of 64-bit words that holds only words with repeated positions, so its size
-follows the number of repeated texts. It is broadcast while it has at most ``FILTER_WORDS``
-words; beyond that all rows take the exact path, which needs no filter.
+Pass 1 builds a blocked Bloom filter over the digests of all texts: a row sets ``HASHES`` bits of
+one 64-bit word. Words are built by task and merged by ``bit_or`` with the number of bits that
+were set; where fewer bits show than were set, some bit was set twice, and two rows of that word
+may be equal. No other word can hold a repeat. Pass 2 tests every row: one whose word shows no
+repeat is unique and leaves without any exchange; only the others shuffle, to an exact comparison
+by SHA-256. False positives cost work, never results.
+
+Only words with a repeat are kept, so the filter's size follows the number of repeated texts. Up
+to ``FILTER_WORDS`` words it is broadcast; a larger one meets the rows in a join on the word.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from watttrail.operators.skew import lookup
 from watttrail.session import stage
 
 HASHES = 2
-BITS_PER_ROW = 256
+WORDS_PER_ROW = 16
 #: About 32 bytes each as a broadcast relation: 128 MB.
 FILTER_WORDS = 4_000_000
 
@@ -33,39 +34,31 @@ def digest(text: Column) -> Column:
     return F.sha2(normalised(text).cast("binary"), 256)
 
 
-def _positions(sha: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(sha, F.lit(k)), F.lit(bits)) for k in range(HASHES)]
+def _word(words: int) -> Column:
+    return F.pmod(F.xxhash64("sha"), F.lit(words))
 
 
-def repeat_filter(digests: DataFrame, bits: int) -> DataFrame:
-    """Words ``(word, bits)`` of the positions that more than one row of ``digests`` hits."""
-    hits = digests.select(F.explode(F.array(*_positions(F.col("sha"), bits))).alias("position"))
-    repeated = hits.groupBy("position").agg(F.count("*").alias("n")).where("n > 1")
-    bit = F.expr("shiftleft(1L, cast(position & 63 as int))")
-    return repeated.groupBy(F.shiftright("position", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+def _bits() -> Column:
+    """The bits of a row within its word; two of them may fall together."""
+    source = "xxhash64(sha, 1)"
+    return F.expr(" | ".join(f"shiftleft(1L, cast(shiftrightunsigned({source}, {6 * k}) & 63 as int))" for k in range(HASHES)))
 
 
-def _flagged(rows: DataFrame, words: DataFrame, bits: int) -> DataFrame:
-    """Adds ``may_repeat``: all positions of the row's digest are set in the filter."""
-    may = F.lit(True)
-    for k, position in enumerate(_positions(F.col("sha"), bits)):
-        side = words.select(F.col("word").alias(f"_w{k}"), F.col("bits").alias(f"_b{k}"))
-        rows = rows.withColumn(f"_p{k}", position)
-        rows = rows.join(F.broadcast(side), F.shiftright(f"_p{k}", 6) == F.col(f"_w{k}"), "left")
-        hit = F.expr(f"(shiftrightunsigned(coalesce(_b{k}, 0L), cast(_p{k} & 63 as int)) & 1) = 1")
-        may = may & hit
-    scratch = [f"_{x}{k}" for k in range(HASHES) for x in "pwb"]
-    return rows.withColumn("may_repeat", may).drop(*scratch)
+def repeat_filter(digests: DataFrame, words: int) -> DataFrame:
+    """Words ``(word, bits)`` of the filter over ``digests(sha)`` in which some bit was set more than once."""
+    hits = digests.select(_word(words).alias("word"), _bits().alias("bits"))
+    merged = hits.groupBy("word").agg(F.bit_or("bits").alias("bits"), F.sum(F.bit_count("bits")).alias("hits"))
+    return merged.where(F.col("hits") > F.bit_count("bits")).select("word", "bits")
 
 
 def mark_repeats(rows: DataFrame, digests: DataFrame) -> DataFrame:
     """``rows`` (with a column ``sha``) plus ``may_repeat`` under the filter over ``digests``."""
-    n = digests.count()
-    bits = 1 << max(16, (n * BITS_PER_ROW - 1).bit_length())
-    words = stage(repeat_filter(digests, bits), "bloom")
-    if words.count() > FILTER_WORDS:
-        return rows.withColumn("may_repeat", F.lit(True))
-    return _flagged(rows, words, bits)
+    words = 1 << max(16, (digests.count() * WORDS_PER_ROW - 1).bit_length())
+    found = stage(repeat_filter(digests, words), "bloom")
+    side = found.select(F.col("word").alias("_word"), F.lit(True).alias("_repeats"))
+    side = F.broadcast(side) if found.count() <= FILTER_WORDS else side
+    joined = rows.join(side, _word(words) == F.col("_word"), "left")
+    return joined.withColumn("may_repeat", F.col("_repeats").isNotNull()).drop("_word", "_repeats")
 
 
 def _order(chars: Column, doc_id: Column) -> list[Column]:
