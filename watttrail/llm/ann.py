@@ -4,22 +4,26 @@ Codes: vectors are centred, rotated and cut to signs. The rotation is learned on
 (``SAMPLE`` rows) by alternating between codes and the orthogonal matrix that best maps onto them,
 once for each group of dimensions' worth of bits, from different starts.
 
-Index: a code is cut into substrings; each block of rows keeps, for every substring, its rows by
-substring value. Codes within a Hamming radius ``r`` agree with the query's in some substring up
-to ``r // substrings`` bits (pigeonhole), so probing all substring values that near retrieves
-every code within ``r``. The retrieved codes are verified by popcount and reranked by inner
-products in double precision.
-
-The radius is measured on the sample: the distance that holds ``TARGET`` of the true neighbours
-among the sample. A denser table has nearer neighbours, so the recall over all rows is higher.
+Index: a code is cut into substrings of ``SUBSTRING`` bits, about the logarithm of a block's rows;
+each block keeps, for every substring, its rows by substring value. A query looks up all values
+that differ from its own substring in at most ``flips`` bits. By the pigeonhole principle that
+retrieves every code within ``substrings * (flips + 1) - 1`` bits, and of those beyond all that
+come as near in some substring. The rows retrieved, and no others, are verified by popcount
+against the radius that holds the sample's neighbours, and reranked by inner products in double
+precision.
+
+``flips`` and the radius are measured on the sample: the least with which ``TARGET`` of the true
+neighbours among the sample are found. A denser table has nearer neighbours, so the recall over
+all rows is higher. A query that finds fewer than ``k`` rows in a block probes one more flip, and
+so on, until it has them or all rows of the block.
 
 Rows are dealt into blocks of about ``BLOCK`` by hash and queries into groups of about ``GROUP``;
-each pair of them is one task's work, and its top ``k`` leave it. All rows are indexed; where a
-block holds fewer than ``k`` rows within the radius, all its rows are reranked for that query.
+each pair of them is one task's work, and its top ``k`` leave it. All rows are indexed.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,13 +35,13 @@ from pyspark.sql import functions as F
 
 from watttrail.session import stage
 
-BITS = 256
-SUBSTRING = 8
+BITS = 512
+SUBSTRING = 16
 SAMPLE = 8_192
 ROUNDS = 20
-TARGET = 0.96
-BLOCK, GROUP = 8_192, 4_096
-_AT_ONCE = 256
+TARGET = 0.92
+BLOCK, GROUP = 65_536, 65_536
+_AT_ONCE = 32
 
 
 def learn_rotations(sample: np.ndarray, bits: int = BITS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +64,7 @@ def encode(vectors: np.ndarray, centre: np.ndarray, rotations: np.ndarray) -> np
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hamming distance of each code of ``a`` to each of ``b``."""
+    """Hamming distance of each code of ``a`` to each of ``b``, for the sample."""
     a, b = (x.reshape(len(x), -1).view(np.uint64) for x in (a, b))
     out = np.zeros((len(a), len(b)), np.int32)
     for k in range(a.shape[1]):
@@ -68,14 +72,23 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def measure_radius(sample: np.ndarray, codes: np.ndarray, k: int, target: float = TARGET) -> int:
-    """Distance within which lies the share ``target`` of the sample's own nearest neighbours."""
+def flip_masks(flips: int) -> np.ndarray:
+    """All substring values with at most ``flips`` bits set, those with fewer first."""
+    return np.array([sum(1 << b for b in c) for r in range(flips + 1) for c in combinations(range(SUBSTRING), r)], np.uint16)
+
+
+def measure(sample: np.ndarray, codes: np.ndarray, k: int, target: float = TARGET) -> tuple[int, int]:
+    """Least flips with which ``target`` of the sample's own nearest neighbours are retrieved, and
+    the Hamming distance within which as large a share of the retrieved ones lies."""
     queries = np.arange(0, len(sample), max(1, len(sample) // 256))
     score = sample[queries] @ sample.T
     score[np.arange(len(queries)), queries] = -np.inf
     near = np.argsort(-score, axis=1)[:, : min(k, max(1, len(sample) - 1))]
+    values = codes.view(">u2")
+    closest = np.bitwise_count(values[queries][:, None, :] ^ values[near]).min(axis=2)
+    flips = int(np.quantile(closest, target, method="higher"))
     found = np.take_along_axis(_distances(codes[queries], codes), near, axis=1)
-    return int(np.quantile(found, target, method="higher"))
+    return flips, int(np.quantile(found[closest <= flips], 1 - (1 - target) / 4, method="higher"))
 
 
 class MultiIndex:
@@ -83,41 +96,48 @@ class MultiIndex:
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        # one table per byte: rows sorted by the byte, and where each value starts
-        self.rows = [np.argsort(codes[:, s], kind="stable") for s in range(codes.shape[1])]
-        self.starts = [np.searchsorted(codes[r, s], np.arange(257)) for s, r in enumerate(self.rows)]
-
-    def probe(self, queries: np.ndarray, radius: int) -> np.ndarray:
-        """For each query, the rows that some table holds near enough: all within ``radius`` and more.
+        values = codes.view(">u2").astype(np.uint16)
+        # one table per substring: rows sorted by its value, and where each value starts
+        self.rows = [np.argsort(v, kind="stable").astype(np.int32) for v in values.T]
+        self.starts = [np.concatenate(([0], np.cumsum(np.bincount(v, minlength=1 << SUBSTRING)))) for v in values.T]
 
-        With ``radius = tables * share + extra``, a code within the radius is within ``share`` bits
-        in one of the first ``extra + 1`` tables or within ``share - 1`` in one of the others.
-        """
+    def probe(self, queries: np.ndarray, flips: int) -> np.ndarray:
+        """For each query, the rows that some table holds within ``flips`` bits of its substring."""
         hit = np.zeros((len(queries), len(self.codes)), bool)
-        share, extra = divmod(radius, queries.shape[1])
+        masks, values = flip_masks(flips), queries.view(">u2").astype(np.uint16)
         for s, (rows, starts) in enumerate(zip(self.rows, self.starts, strict=True)):
-            near = min(share - (s > extra), SUBSTRING)
-            if near < 0:
-                continue
-            order = np.argsort(queries[:, s], kind="stable")
-            bounds = np.searchsorted(queries[order, s], np.arange(257))
-            for value in np.flatnonzero(np.diff(bounds)):
-                found = [rows[starts[v] : starts[v + 1]] for v in (int(value) ^ flip for flip in _FLIPS[near])]
-                mask = np.zeros(len(self.codes), bool)
-                mask[np.concatenate(found)] = True
-                hit[order[bounds[value] : bounds[value + 1]]] |= mask
+            probed = values[:, s][:, None] ^ masks[None, :]
+            first, size = starts[probed], starts[probed.astype(np.int64) + 1] - starts[probed]
+            each = size.sum(axis=1)
+            flat = size.ravel()
+            at = np.arange(flat.sum()) + np.repeat(first.ravel() - np.cumsum(flat) + flat, flat)
+            hit[np.repeat(np.arange(len(queries)), each), rows[at]] = True
         return hit
 
     def within(self, queries: np.ndarray, radius: int) -> Iterator[np.ndarray]:
-        """For each query in turn, the rows whose codes lie within ``radius``."""
-        hit = self.probe(queries, radius)
+        """For each query in turn, all rows whose codes lie within ``radius``, found by pigeonhole."""
+        for query, hit in zip(queries, self.probe(queries, min(radius // len(self.rows), SUBSTRING)), strict=True):
+            found = np.flatnonzero(hit)
+            yield found[self.distances(query, found) <= radius]
+
+    def distances(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.codes[rows].view(np.uint64) ^ query.view(np.uint64)).sum(axis=1)
+
+    def search(self, queries: np.ndarray, flips: int, radius: int, least: int) -> Iterator[np.ndarray]:
+        """For each query in turn, the retrieved rows whose codes lie within ``radius``; ``least`` at
+        least, or all, of which the radius and the flips grow where it finds fewer."""
+        least = min(least, len(self.codes))
         for start in range(0, len(queries), _AT_ONCE):
-            some = slice(start, start + _AT_ONCE)
-            near = hit[some] & (_distances(queries[some], self.codes) <= radius)
-            yield from map(np.flatnonzero, near)
-
-
-_FLIPS = [[sum(1 << b for b in c) for r in range(m + 1) for c in combinations(range(SUBSTRING), r)] for m in range(SUBSTRING + 1)]
+            some = queries[start : start + _AT_ONCE]
+            for query, hit in zip(some, self.probe(some, flips), strict=True):
+                found, more = np.flatnonzero(hit), flips
+                while True:
+                    near = found[self.distances(query, found) <= radius + len(self.rows) * (more - flips)]
+                    if len(near) >= least or more == SUBSTRING:
+                        break
+                    more += 1
+                    found = np.flatnonzero(self.probe(query[None, :], more)[0]) if more < SUBSTRING else np.arange(len(self.codes))
+                yield near if len(near) >= least else found
 
 
 def usable(vector: Column) -> Column:
@@ -132,18 +152,22 @@ def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", v
     Nearness is the inner product of the original vectors in double precision, ties go to the
     smaller id, and a query's own row is no candidate (all rows with its id, if repeated). Vectors
     that are null, zero, or hold a null or non-finite component take no part, nor do null ids.
-    Vectors must have one length. An empty table gives an empty result.
+    Vectors of another length than most of the sample's (of equal counts the shorter) take no part
+    either. An empty table gives an empty result.
     """
     vector = F.col(vector_col).cast("array<double>")
     rows = df.select(F.col(id_col).alias("id"), vector.alias("vector"), F.coalesce(query, F.lit(False)).alias("asks"))
     rows = stage(rows.where(usable(F.col("vector")) & F.col("id").isNotNull()), "vectors")
-    n, asked = rows.count(), rows.where("asks").count()
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()  # a bounded sample
+    lengths = Counter(len(r.vector) for r in sample)
+    length = min(lengths, key=lambda m: (-lengths[m], m), default=0)
+    rows, sample = rows.where(F.size("vector") == length), [r for r in sample if len(r.vector) == length]
+    n, asked = rows.count(), rows.where("asks").count()
     if not sample or not asked:
         return _ranked(rows.where("false").select(F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")), k, id_col)
     data = np.array([r.vector for r in sample])
     centre, rotations = learn_rotations(data, bits)
-    radius = measure_radius(data, encode(data, centre, rotations), k)
+    flips, radius = measure(data, encode(data, centre, rotations), k)
 
     blocks, groups = -(-n // BLOCK), -(-asked // GROUP)
     block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")
@@ -164,10 +188,10 @@ def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", v
             right = right.sort_by("id")
             ids, vectors, own, asks = right.column("id").to_numpy(), matrix(right), left.column("id").to_numpy(), matrix(left)
             tables = MultiIndex(encode(vectors, centre, rotations))
-            for key, q, found in zip(own, asks, tables.within(encode(asks, centre, rotations), radius), strict=True):
+            # a query's own row is found too, however often it is repeated
+            repeats = int(np.unique(ids, return_counts=True)[1].max())
+            for key, q, found in zip(own, asks, tables.search(encode(asks, centre, rotations), flips, radius, k + repeats), strict=True):
                 found = found[ids[found] != key]
-                if len(found) < k:
-                    found = np.flatnonzero(ids != key)
                 score = (vectors[found] * q).sum(axis=1)
                 if len(found) > k:
                     least = np.partition(score, len(score) - k)[len(score) - k]
