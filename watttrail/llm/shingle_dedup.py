@@ -64,31 +64,33 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _prints(docs: DataFrame) -> DataFrame:
+    """``(id, grams, keys)``: each text's shingle hashes and band keys, worked out once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [bands(shingles(t)) for t in batch.column(1).to_pylist()]
-            flat = np.array([x for k in keys for x in k], np.uint64).view(np.int64)
-            at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(flat)], ["id", "key"])
+            grams = [shingles(t) for t in batch.column(1).to_pylist()]
+            keys = [np.array(bands(g), np.uint64).view(np.int64) for g in grams]
+            arrays = [batch.column(0), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "grams", "keys"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key long")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, grams binary, keys array<bigint>")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+def _similar(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
     """Those of ``pairs(a, b)`` whose texts have a similarity of ``least`` or more."""
     total = pairs.count()
     for side, other in (("a", "b"), ("b", "a")):
         counts = pairs.groupBy(F.col(side).alias("id")).agg(F.count("*").alias("n"))
-        entries = docs.join(counts, "id").select(F.col("id").alias(side), F.col("text").alias(f"{side}_text"), "n")
+        entries = prints.join(counts, "id").select(F.col("id").alias(side), F.col("grams").alias(f"{side}_grams"), "n")
         pairs = lookup(pairs, entries, side, "n", total, other)
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = zip(batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist(), strict=True)
-            keep = pa.array([similarity(shingles(x), shingles(y)) >= least for x, y in texts], pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
+            sets = zip(batch.column("a_grams"), batch.column("b_grams"), strict=True)
+            keep = [similarity(*(np.frombuffer(x.as_buffer(), np.uint64) for x in both)) >= least for both in sets]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(run, f"a {kind}, b {kind}")
 
@@ -99,13 +101,14 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Ids are distinct; rows with a null id are left out. Texts without words are similar to none.
     """
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keyed = stage(_keyed(docs), "bands")
+    prints = stage(_prints(docs), "prints")
+    keyed = prints.select("id", F.explode("keys").alias("key"))
     sizes = stage(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1"), "buckets")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     entries = sizes.select("key", "hub", "n", F.col("n").alias("size"))
     members = stage(lookup(keyed, entries, "key", "n", total, "id").where("size is not null"), "members")
     stars = stage(members.where("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    links = stage(_similar(stars, docs, least), "links")
+    links = stage(_similar(stars, prints, least), "links")
     linked = connected_components(links).select(F.col("node").alias("id"), "root")
     rooted = members.join(linked, "id", "left").withColumn("root", F.coalesce("root", "id"))
     group = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("size") / GROUP))
@@ -113,10 +116,19 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     one = dealt.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y"))
     apart = one.where("x.root <> y.root and x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     rest = stage(apart.join(stars, ["a", "b"], "left_anti"), "apart")
-    return connected_components(links.union(_similar(rest, docs, least)))
+    return connected_components(links.union(_similar(rest, prints, least)))
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """One row of each component of ``similar_components`` stays: that with the least id."""
-    gone = similar_components(df, id_col, text_col, least).where("node <> root").select(F.col("node").alias(id_col))
-    return df.join(gone, id_col, "left_anti")
+    """One row of each component of similar texts stays: that with the least id (null ids last), then the first read.
+
+    Rows are told apart by a number of their own, so ids may repeat or be null. An empty table
+    gives an empty result.
+    """
+    rows = stage(df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "rows")
+    found = similar_components(rows.select("number", F.col(f"row.{text_col}").alias("text")), "number", "text", least)
+    ids = rows.select(F.col("number").alias("node"), F.col(f"row.{id_col}").alias("id")).join(found, "node")
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("node"))
+    first = ids.groupBy("root").agg(F.min(order)["node"].alias("first"))
+    gone = ids.join(first, "root").where("node <> first").select(F.col("node").alias("number"))
+    return rows.join(gone, "number", "left_anti").select("row.*")
