@@ -59,19 +59,55 @@ def test_language_held_out_accuracy_and_edges(spark):
     known = [r for r in found if r.truth]
     assert sum(r.lang_pred == r.truth for r in known) / len(known) > 0.97
     assert all(0 <= r.score <= 1 for r in found)
-    spans = langid.label_spans(spark.createDataFrame([(1, "katomi schung"), (2, "12 katora")], "doc_id long, text string"), net).orderBy("doc_id").collect()
-    assert {s.lang for s in spans[0].spans} == {"aa", "bb"} and spans[0].spans[0].lang == "aa"
-    assert [s.start for s in spans[0].spans][1:] == list(np.cumsum([s.length for s in spans[0].spans]))[:-1]
-    assert (spans[1].spans[0].lang, spans[1].spans[0].length) == ("und", 3)
-
-
-def test_words_cached_and_not_give_equal_results(monkeypatch):
-    net = langid.fit([(b"kato", "aa"), (b"schung", "bb")] * 50, epochs=1)
-    texts = [t for _, t, _ in corpus(30, 3)]
-    whole = langid.document_probabilities(texts, langid.WordScores(net))
-    monkeypatch.setattr(langid, "CACHE", 5)
-    monkeypatch.setattr(langid, "_DOCS_AT_ONCE", 7)
-    assert np.allclose(whole, langid.document_probabilities(texts, langid.WordScores(net)), atol=1e-6)
+    docs = spark.createDataFrame([(1, "katomi " * 20 + "schung einver " * 20), (2, "12 %"), (3, None), (4, "")], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in langid.label_spans(docs, net).collect()}
+    each = [s.lang for s in spans[1] for _ in range(s.length)]
+    assert Counter(each[:140]).most_common(1)[0][0] == "aa" and Counter(each[140:]).most_common(1)[0][0] == "bb"
+    assert [s.start for s in spans[1]][1:] == list(np.cumsum([s.length for s in spans[1]]))[:-1] and sum(s.length for s in spans[1]) == 420
+    assert [tuple(s) for s in spans[2]] == [(0, 4, "und")] and spans[3] == spans[4] == []
+
+
+def plain_pass(net, data):
+    """Distribution at every byte by the plain equations, one byte at a time over the whole string."""
+    def run(octets, d):
+        h, out, n = np.zeros(net.hidden), [], net.hidden
+        for b in octets:
+            x, a = net.p["x" + d][b].astype(float), h @ net.p["u" + d].astype(float)
+            z, r = 1 / (1 + np.exp(-(x[:n] + a[:n]))), 1 / (1 + np.exp(-(x[n : 2 * n] + a[n : 2 * n])))
+            h = (1 - z) * np.tanh(x[2 * n :] + r * a[2 * n :]) + z * h
+            out.append(h)
+        return np.array(out)
+
+    states = np.concatenate([run(data, "f"), run(data[::-1], "b")[::-1]], axis=1)
+    e = np.exp(states @ net.p["v"] + net.p["c"])
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def test_whole_texts_match_a_plain_pass(monkeypatch):
+    net = langid.fit([(t.encode(), lang) for _, t, lang in corpus(60, 3)], epochs=1)
+    texts = [t for _, t, _ in corpus(8, 4)] + ["Éa 12 oux", "x", "KATO"]
+    found = langid.read_texts(texts, net)
+    for text, got, labels in zip(texts, found.probabilities, found.labels, strict=True):
+        data = text.encode().lower()
+        assert len(data) <= langid.CORE
+        prob = plain_pass(net, data)
+        letters = [chr(b).isalpha() or b > 127 for b in data]
+        assert np.allclose(got, prob[letters].mean(axis=0), atol=2e-3)
+        sure = np.sort(prob, axis=1)[:, -1] - np.sort(prob, axis=1)[:, -2] > 0.01
+        assert (labels == prob.argmax(axis=1))[sure].all()
+    monkeypatch.setattr(langid, "CORE", 40)  # windows that see enough around them change little
+    cut = langid.read_texts(texts, net)
+    assert np.allclose(cut.probabilities, found.probabilities, atol=0.02)
+    assert [len(x) for x in cut.labels] == [len(x) for x in found.labels]
+    monkeypatch.setattr(langid, "_WINDOWS_AT_ONCE", 3)
+    assert np.allclose(langid.read_texts(texts, net).probabilities, cut.probabilities, atol=1e-6)
+
+
+def test_training_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "DOCUMENTS", 5)
+    rows = [(None, f"text {i}", "aa") for i in range(300)] + [(7, f"word {i}", "bb") for i in range(300)] + [(1, "x", "cc")]
+    got = langid.sample_examples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert Counter(lang for _, lang in got) == {"aa": 5, "bb": 5, "cc": 1}
 
 
 def test_nothing_to_learn_from(spark):
@@ -82,10 +118,9 @@ def test_nothing_to_learn_from(spark):
     assert langid.predict(empty, net).collect() == []
 
 
-def test_segments_keep_characters():
-    word = ("é" * 100).encode()
-    parts = langid.segments(word)
-    assert b"".join(parts) == word and all(p.decode() for p in parts) and max(map(len, parts)) <= langid.SEGMENT
+def test_pieces_cover_a_text():
+    data = bytes(range(256)) * 5
+    assert b"".join(langid.pieces(data)) == data and langid.pieces(b"") == []
 
 
 # --- suffix tree

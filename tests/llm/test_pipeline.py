@@ -4,7 +4,7 @@ import corpus_pipeline
 import numpy as np
 from test_dedup_and_shards import brute_keep
 from test_models import corpus
-from test_simhash import brute_components, brute_fingerprint
+from test_shingle_dedup import grams, jaccard
 from test_text_tools import check_pieces
 
 from watttrail.llm import langid
@@ -24,6 +24,16 @@ def documents(spark):
     return spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
 
 
+def brute_kept(texts):
+    """Least ids of the components of all pairs with a five-word Jaccard similarity of 0.8 or more."""
+    label, sets = {i: i for i in texts}, {i: grams(t) for i, t in texts.items()}
+    pairs = [(a, b) for a in texts for b in texts if a < b and jaccard(sets[a], sets[b]) >= 0.8]
+    for _ in texts:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return set(label.values())
+
+
 def test_pipeline(spark):
     docs = documents(spark)
     path = new_path(spark, "pipeline-test")
@@ -35,7 +45,7 @@ def test_pipeline(spark):
     assert spoken.columns == docs.columns
     net = langid.train(docs)
     given = {r.doc_id: r.text for r in docs.collect()}
-    prob = langid.document_probabilities([*given.values()], langid.WordScores(net)).max(axis=1)
+    prob = langid.document_probabilities([*given.values()], net).max(axis=1)
     want = {i for i, p in zip(given, prob, strict=True) if p >= corpus_pipeline.LEAST_SCORE}
     got = {r.doc_id for r in spoken.collect()}
     assert got == want and not {500, 501, 502} & got and set(range(150)) <= got
@@ -49,8 +59,7 @@ def test_pipeline(spark):
 
     far = steps["near"](spark, once, path)
     assert far.columns == docs.columns
-    prints = [(i, brute_fingerprint(given[i])) for i in sorted(kept)]
-    assert {r.doc_id for r in far.collect()} == set(brute_components(prints))
+    assert {r.doc_id for r in far.collect()} == brute_kept({i: given[i] for i in kept})
 
     final = corpus_pipeline.run(spark, path).collect()
     check_pieces(final, {r.doc_id: r.text for r in far.collect()})

@@ -1,36 +1,42 @@
 """Language identification: a bidirectional gated recurrent network over bytes.
 
-The network reads the UTF-8 bytes of a word (ASCII letters lowered) in both directions, gives
-every byte a distribution over the languages, and a document's probabilities are the mean over
-all bytes of its words that have a letter. A state starts afresh at each word, so equal words
-give equal results and each worker computes a word once while it stays in a bounded cache; all
-words of the whole text count. Words longer than ``SEGMENT`` bytes are read in segments.
-
-Training runs in numpy by backpropagation through time on a bounded, documented sample: about
-``DOCUMENTS`` labelled documents of each language, ``WORDS`` words spread evenly over each, and
-at most ``EXAMPLES`` words a language.
+The network reads the UTF-8 bytes of the whole text (ASCII letters lowered) in both directions,
+white space and all, and gives every byte a distribution over the languages. A document's
+probabilities are the mean over its letter bytes: ASCII letters and all bytes of other characters.
+A long text is read in windows of ``CORE`` bytes, in which the state starts ``CONTEXT`` bytes
+before the window in its direction; each byte counts in one window, and all bytes count.
+
+Training runs in numpy by backpropagation through time on the whole texts of at most ``DOCUMENTS``
+labelled documents of each language, cut into pieces of the lengths ``PIECES`` in turn.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNDETERMINED = "und"
-HIDDEN = 12
-SEGMENT = 32
-DOCUMENTS, WORDS, EXAMPLES = 200, 200, 12_000
-EPOCHS, BATCH, RATE = 4, 512, 0.02
-CACHE = 400_000
-_DOCS_AT_ONCE = 1_000
+HIDDEN = 8
+CORE, CONTEXT = 448, 32
+DOCUMENTS = 200
+PIECES = (96, 24, 48, 12)
+EPOCHS, BATCH, RATE = 2, 256, 0.02
+#: Small samples are read more often, until this many steps are taken.
+STEPS = 250
+_WINDOWS_AT_ONCE = 512
+#: Bytes that count: ASCII letters and every byte of another character.
+_LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
+
+_FINE, _REACH = 1024, 8
+_POINTS = np.arange(2 * _REACH * _FINE) / _FINE - _REACH
+_SIGMOID, _TANH = (1 / (1 + np.exp(-_POINTS))).astype(np.float32), np.tanh(_POINTS).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -39,7 +45,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Batch:
-    """Byte strings of at most ``SEGMENT`` bytes as a matrix, longest first."""
+    """Byte strings of much the same length as a matrix, longest first."""
 
     order: np.ndarray
     lengths: np.ndarray
@@ -86,9 +92,6 @@ class Network:
     def hidden(self) -> int:
         return len(self.p["uf"])
 
-    def digest(self) -> str:
-        return hashlib.sha256(b"".join(self.p[k].tobytes() for k in sorted(self.p)) + repr(self.languages).encode()).hexdigest()
-
     def _run(self, octets: np.ndarray, active: list[int], d: str, tape: list | None) -> np.ndarray:
         """States of one direction, (strings, steps, hidden); ``tape`` gets what backpropagation needs."""
         h_size, u = self.hidden, self.p["u" + d]
@@ -117,6 +120,38 @@ class Network:
         e = np.exp(logits)
         return e / e.sum(axis=2, keepdims=True), states
 
+    def posteriors(self, batch: Batch) -> np.ndarray:
+        """As ``probabilities`` without the states, for long strings.
+
+        Gates and candidates come from tables of the two functions at ``_FINE`` points a unit, so
+        they are right to ``0.5 / _FINE``; the weights are scaled to give places in the tables.
+        """
+        n, steps = batch.octets.shape
+        size, middle = self.hidden, np.float32(_REACH * _FINE + 0.5)
+        logits = np.zeros((n, steps, len(self.languages)), np.float32)
+        rows = np.arange(n)[:, None]
+        for d, octets, v in (("f", batch.octets, self.p["v"][:size]), ("b", batch.octets[rows, batch.mirror], self.p["v"][size:])):
+            x_table, u = (self.p["x" + d] * _FINE + middle).astype(np.float32), (self.p["u" + d] * _FINE).astype(np.float32)
+            by_step, out = np.ascontiguousarray(octets.T), np.zeros((steps, n, len(self.languages)), np.float32)
+            h = np.zeros((n, size), np.float32)
+            for t, m in enumerate(batch.active):
+                x, h = np.take(x_table, by_step[t, :m], axis=0), h[:m]
+                a = h @ u
+                gates = _SIGMOID.take((x[:, : 2 * size] + a[:, : 2 * size]).astype(np.int32), mode="clip")
+                new = gates[:, size:] * a[:, 2 * size :]
+                new += x[:, 2 * size :]
+                new = _TANH.take(new.astype(np.int32), mode="clip")
+                h = h - new
+                h *= gates[:, :size]
+                h += new
+                np.matmul(h, v, out=out[t, :m])
+            found = out.transpose(1, 0, 2)
+            logits += found if d == "f" else found[rows, batch.mirror]
+        logits += self.p["c"]
+        logits -= logits.max(axis=2, keepdims=True)
+        np.exp(logits, out=logits)
+        return logits / logits.sum(axis=2, keepdims=True)
+
     def gradients(self, batch: Batch, labels: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy over all bytes; ``labels`` are by string, in the batch's order."""
         tapes: tuple[list, list] = ([], [])
@@ -155,37 +190,35 @@ class Network:
         return g
 
 
-def segments(word: bytes) -> list[bytes]:
-    """Cuts a long word into parts of at most ``SEGMENT`` bytes, not within a character."""
-    out = []
-    while len(word) > SEGMENT:
-        at = SEGMENT
-        while at > SEGMENT - 4 and word[at] & 0xC0 == 0x80:
-            at -= 1
-        out.append(word[:at])
-        word = word[at:]
-    return [*out, word]
+def has_letter(text: str) -> bool:
+    return any(c.isalpha() for c in text)
 
 
-def has_letter(word: bytes) -> bool:
-    return any(c.isalpha() for c in word.decode())
+def octets_of(text: str | None) -> bytes:
+    return (text or "").encode().lower()
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def pieces(data: bytes) -> list[bytes]:
+    """A training text cut into parts whose lengths take turns, so that short texts are learned too."""
+    out, at, k = [], 0, 0
+    while at < len(data):
+        out.append(data[at : at + PIECES[k % len(PIECES)]])
+        at, k = at + PIECES[k % len(PIECES)], k + 1
+    return out
 
 
 def fit(examples: list[tuple[bytes, str]], seed: int = 3, epochs: int = EPOCHS) -> Network:
-    """Trains on ``(word, language)``; the same examples in the same order give the same network."""
+    """Trains on ``(bytes, language)``; the same examples in the same order give the same network."""
     languages = sorted({lang for _, lang in examples})
     net = Network.start(languages, seed=seed)
     if len(languages) < 1:
         return net
     rng = np.random.default_rng(seed)
-    pairs = [(part, languages.index(lang)) for word, lang in examples for part in segments(word)]
+    pairs = [(part, languages.index(lang)) for data, lang in examples for part in pieces(data)]
     lengths = np.array([len(p) for p, _ in pairs])
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
+    epochs = max(epochs, -(-STEPS * BATCH // max(1, len(pairs))))
     step, total = 0, epochs * -(-len(pairs) // BATCH)
     for _ in range(epochs):
         # near equal lengths share a batch, so few steps run half empty
@@ -206,30 +239,12 @@ def fit(examples: list[tuple[bytes, str]], seed: int = 3, epochs: int = EPOCHS)
 
 
 def sample_examples(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[bytes, str]]:
-    """A bounded sample of labelled words for ``fit``; the same rows give the same sample."""
+    """At most ``DOCUMENTS`` labelled texts of each language for ``fit``, chosen by hash of id and text."""
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    share = F.least(F.lit(1.0), F.lit(DOCUMENTS) / F.count("*")).alias("share")
-    shares = rows.groupBy("lang").agg(share)  # one row a language
-    picked = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[bytes] = []
-            for text in batch.column(1).to_pylist():
-                words = [w for w in words_of(text) if has_letter(w)]
-                found.append(b" ".join(words[:: -(-len(words) // WORDS) or 1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["lang", "words"])
-
-    by_language: dict[str, list[bytes]] = {}
-    for row in sorted(picked.select("lang", "text").mapInArrow(run, "lang string, words binary").collect()):
-        by_language.setdefault(row.lang, []).extend(bytes(row.words).split())
-    rng = np.random.default_rng(0)
-    out = []
-    for lang, words in sorted(by_language.items()):
-        chosen = rng.permutation(len(words))[:EXAMPLES]
-        out += [(words[i], lang) for i in chosen]
-    return out
+    rows = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))
+    picked = rows.withColumn("rank", rank).where(F.col("rank") <= DOCUMENTS).select("lang", "rank", "text").collect()
+    return [(octets_of(r.text), r.lang) for r in sorted(picked)]
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
@@ -237,127 +252,111 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return fit(sample_examples(labelled, id_col, text_col, lang_col))
 
 
-class WordScores(dict):
-    """Index of each known word into ``sums``: per language the summed probability of its bytes."""
-
-    def __init__(self, net: Network):
-        super().__init__()
-        self.net = net
-        self.sums = np.zeros((0, len(net.languages)), np.float64)
-
-    def learn(self, words: Iterable[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            self.sums = self.sums[:0]
-            return self.learn_all(list(dict.fromkeys(words)))
-        return self.learn_all(new)
-
-    def learn_all(self, new: list[bytes]) -> None:
-        sums = np.zeros((len(new), len(self.net.languages)), np.float64)
-        parts = [(k, part) for k, word in enumerate(new) if has_letter(word) for part in segments(word)]
-        parts.sort(key=lambda x: len(x[1]))
-        for i in range(0, len(parts), 4096):
-            some = parts[i : i + 4096]
-            batch = Batch.of([p for _, p in some])
-            prob, _ = self.net.probabilities(batch)
-            owner = np.array([k for k, _ in some])[batch.order]
-            np.add.at(sums, owner, (prob * batch.mask[:, :, None]).sum(axis=1))
-        start = len(self.sums)
-        self.sums = np.concatenate([self.sums, sums])
-        self.update(zip(new, range(start, start + len(new)), strict=True))
-
-
-_scores: dict[str, WordScores] = {}
-
-
-def document_probabilities(texts: list[str | None], scores: WordScores) -> np.ndarray:
-    """Mean distribution over the bytes of each text's words with a letter; zeros if there are none."""
-    out = np.zeros((len(texts), len(scores.net.languages)))
-    for start in range(0, len(texts), _DOCS_AT_ONCE):
-        words = [words_of(t) for t in texts[start : start + _DOCS_AT_ONCE]]
-        scores.learn(set(chain.from_iterable(words)))
-        for k, own in enumerate(words, start):
-            if own:
-                at = np.fromiter(map(scores.__getitem__, own), np.int64, len(own))
-                out[k] = scores.sums[at].sum(axis=0)
-    totals = out.sum(axis=1, keepdims=True)
-    return np.divide(out, totals, out=out, where=totals > 0)
-
-
-def predict(df: DataFrame, net: Network, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+@dataclass
+class Read:
+    """What the network made of some texts."""
+
+    probabilities: np.ndarray  # (texts, languages), zeros where nothing counts
+    labels: list[np.ndarray]  # likeliest language of every byte
+
+
+def read_texts(texts: list[str | None], net: Network) -> Read:
+    """Runs the network over whole texts, their windows side by side."""
+    data = [octets_of(t) for t in texts]
+    sums = np.zeros((len(texts), len(net.languages)))
+    labels = [np.zeros(len(d), np.uint8) for d in data]
+    windows = [(k, at) for k, d in enumerate(data) for at in range(0, len(d), CORE)]
+    cut = [(max(0, at - CONTEXT), min(len(data[k]), at + CORE + CONTEXT)) for k, at in windows]
+    order = np.argsort([lo - hi for lo, hi in cut], kind="stable")
+    for i in range(0, len(order), _WINDOWS_AT_ONCE):
+        chosen = order[i : i + _WINDOWS_AT_ONCE]
+        batch = Batch.of([data[windows[w][0]][slice(*cut[w])] for w in chosen])
+        prob = net.posteriors(batch)
+        best = prob.argmax(axis=2).astype(np.uint8)
+        counted = prob * (_LETTER[batch.octets] & batch.mask)[:, :, None]
+        for row, o in enumerate(batch.order):
+            (k, at), (lo, _) = windows[chosen[o]], cut[chosen[o]]
+            stop = min(at + CORE, len(data[k]))
+            sums[k] += counted[row, at - lo : stop - lo].sum(axis=0, dtype=np.float64)
+            labels[k][at:stop] = best[row, at - lo : stop - lo]
+    totals = sums.sum(axis=1, keepdims=True)
+    return Read(np.divide(sums, totals, out=sums, where=totals > 0), labels)
+
+
+def document_probabilities(texts: list[str | None], net: Network) -> np.ndarray:
+    """Mean distribution over the letter bytes of each text; zeros for a text without a letter."""
+    found = read_texts(texts, net).probabilities
+    found[[not has_letter(t or "") for t in texts]] = 0.0
+    return found
+
+
+def _chunks(texts: list[str | None], most: int = 1 << 20) -> Iterator[slice]:
+    """Runs of texts of about ``most`` characters together."""
+    start, size = 0, 0
+    for k, text in enumerate(texts):
+        size += len(text or "")
+        if size >= most:
+            yield slice(start, k + 1)
+            start, size = k + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+_SPANS = "array<struct<start: bigint, length: bigint, lang: string>>"
+
+
+def _runs(labels: list[np.ndarray], names: list[str]) -> pa.Array:
+    """Runs of equal labels of each text as lists of structs."""
+    starts = [np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64) for x in labels]
+    lengths = [np.diff(np.append(s, len(x))) for s, x in zip(starts, labels, strict=True)]
+    kinds = [x[s] for s, x in zip(starts, labels, strict=True)]
+    offsets = np.concatenate(([0], np.cumsum([len(s) for s in starts]))).astype(np.int32)
+    flat = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (starts, lengths, kinds)]
+    lang = pa.array(np.array([*names, UNDETERMINED], object)[flat[2].astype(np.int64)], pa.string())
+    values = pa.StructArray.from_arrays([pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.int64()), lang], ["start", "length", "lang"])
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def predict(df: DataFrame, net: Network, text_col: str = "text", keep: list[str] | None = None, spans: bool = False) -> DataFrame:
     """The columns ``keep`` (default: all) of every row, ``lang_pred`` and ``score``: the likeliest
-    language and its mean probability.
+    language and its mean probability; with ``spans``, also the label of every position.
 
+    ``spans`` are runs of bytes of the text in UTF-8 with one likeliest language, ``start`` and
+    ``length`` each; a text without a letter is ``und`` throughout, a null or empty one has none.
     A null text, a text without a letter, or a network that learned no language gives ``und``
     with score 0. Ties go to the language first in the alphabet. Repeated rows get equal results;
     an empty table gives an empty result. Columns named like a result are replaced.
     """
-    kept = [c for c in (df.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    results = ["lang_pred", "score", *(["spans"] if spans else [])]
+    kept = [c for c in (df.columns if keep is None else keep) if c not in results]
     own = [] if text_col in kept else [text_col]
     rows = df.select(*kept, *own)
     at = rows.columns.index(text_col)
-    key = net.digest()
-    schema = T.StructType([*df.select(*kept).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    kinds = {"lang_pred": "string", "score": "double", "spans": _SPANS}
+    added = T.StructType.fromDDL(", ".join(f"{c} {kinds[c]}" for c in results))
+    schema = T.StructType([*df.select(*kept).schema.fields, *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scores:
-            _scores.clear()
-            _scores[key] = WordScores(net)
         names = np.array([*net.languages, UNDETERMINED], object)
+        none = len(net.languages)
         for batch in batches:
-            if net.languages:
-                prob = document_probabilities(batch.column(at).to_pylist(), _scores[key])
-            else:
-                prob = np.zeros((batch.num_rows, 1))
-            best, score = prob.argmax(axis=1), prob.max(axis=1, initial=0.0)
-            best[score == 0] = len(net.languages)
-            arrays = [*batch.columns[: len(kept)], pa.array(names[best], pa.string()), pa.array(np.minimum(score, 1.0))]
-            yield pa.RecordBatch.from_arrays(arrays, [*kept, "lang_pred", "score"])
+            every = batch.column(at).to_pylist()
+            for part in _chunks(every):
+                texts = every[part]
+                silent = [not net.languages or not has_letter(t or "") for t in texts]
+                found = read_texts(texts, net) if net.languages else Read(np.zeros((len(texts), 1)), [np.zeros(len(octets_of(t)), np.uint8) for t in texts])
+                prob = found.probabilities
+                prob[silent] = 0.0
+                best, score = prob.argmax(axis=1), prob.max(axis=1, initial=0.0)
+                best[silent] = none
+                arrays = [*(c.slice(part.start, len(texts)) for c in batch.columns[: len(kept)]), pa.array(names[best], pa.string()), pa.array(np.minimum(score, 1.0))]
+                if spans:
+                    arrays.append(_runs([np.full(len(x), none, np.uint8) if s else x for x, s in zip(found.labels, silent, strict=True)], net.languages))
+                yield pa.RecordBatch.from_arrays(arrays, [*kept, *results])
 
     return rows.mapInArrow(run, schema)
 
 
 def label_spans(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Labels of every position: per row ``spans``, runs of bytes with one likeliest language.
-
-    A span has ``start`` and ``length`` in bytes of the text's words joined by single spaces; the
-    space counts to the word before it. Words without a letter are labelled ``und``.
-    """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("lang", pa.string())]))
-
-    def spans(text: str | None) -> list[dict]:
-        out: list[dict] = []
-
-        def add(lang: str, n: int) -> None:
-            if out and out[-1]["lang"] == lang:
-                out[-1]["length"] += n
-            else:
-                out.append({"start": out[-1]["start"] + out[-1]["length"] if out else 0, "length": n, "lang": lang})
-
-        words = words_of(text)
-        parts = [p for w in words if has_letter(w) for p in segments(w)]
-        labels: dict[bytes, np.ndarray] = {}
-        distinct = list(dict.fromkeys(parts)) if net.languages else []
-        for i in range(0, len(distinct), 4096):
-            batch = Batch.of(distinct[i : i + 4096])
-            best = net.probabilities(batch)[0].argmax(axis=2)
-            labels |= {distinct[i + o]: best[k, : batch.lengths[k]] for k, o in enumerate(batch.order)}
-        for w in words:
-            if not has_letter(w) or not net.languages:
-                add(UNDETERMINED, len(w) + 1)
-                continue
-            for p in segments(w):
-                for x in labels[p]:
-                    add(net.languages[x], 1)
-            add(out[-1]["lang"], 1)
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([spans(t) for t in batch.column(1).to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["id", "spans"])
-
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, spans array<struct<start: bigint, length: bigint, lang: string>>"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    """Id and ``spans`` of every row, as ``predict`` gives them."""
+    return predict(df, net, text_col, [id_col], spans=True).select(id_col, "spans")

@@ -46,7 +46,7 @@ def op3_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.pmod(_crc("doc_id"), F.lit(3)) == 1, F.lit(False)))
     net = train(documents.where(~F.col("held_out")))
-    return predict(documents, net, keep=["doc_id", "held_out"])
+    return predict(documents, net, keep=["doc_id", "held_out"], spans=True)
 
 
 def op4_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
