@@ -126,64 +126,59 @@ def test_pieces_cover_a_text():
 # --- suffix tree
 
 
-def brute_scores(rows, depth=2):
-    """Rows of (id, text, held): counts of all contexts in memory, the same tests and smoothing."""
-    seqs = {i: (["\n", *suffix_tree.tokens_of(t)], held) for i, t, held in rows}
-    seqs = {i: ([x if isinstance(x, bytes) else x.encode() for x in s], h) for i, (s, h) in seqs.items()}
-    train = [s for s, h in seqs.values() if not h]
+def plain_tree(rows, depth):
+    """From rows of (id, text, held): per id the scores, and P(w | context), from counts held in memory.
+
+    Written from the model's definition alone; it shares no code with the operator.
+    """
+    seqs = [(i, ["\n", *(t or "").lower().split(), "\n"], held) for i, t, held in rows]
+    train = [s for _, s, held in seqs if not held]
     words = Counter(w for s in train for w in s[1:])
     n, v = sum(words.values()), len(words)
-    grams = {k: Counter(tuple(s[i - k : i + 1]) for s in train for i in range(k, len(s))) for k in range(1, depth + 1)}
-    hot_from = max(2.0, suffix_tree.HOT * n)
+    grams = Counter(tuple(s[i - k : i + 1]) for s in train for k in range(1, depth + 1) for i in range(k, len(s)))
+    nexts = {}
+    for g, c in grams.items():
+        nexts.setdefault(g[:-1], {})[g[-1]] = c
 
     def count(context):
-        return words[context[0]] if len(context) == 1 else grams[len(context) - 1][context]
-
-    def p0(w):
-        return (words[w] + 1) / (n + v + 1)
-
-    def shorter(context, w):
-        return words[w] if len(context) == 1 else grams[len(context) - 1][(*context[1:], w)]
-
-    strengths = {}
-
-    def strength(context, prob):
-        if context not in strengths:
-            nexts = {g[-1]: c for g, c in grams[len(context)].items() if g[:-1] == context and shorter(context, g[-1]) >= 2}
-            pairs = [(c, prob(context[1:], w)) for w, c in nexts.items()]
-            total = np.full(len(pairs), float(count(context)))
-            coarse = 2.0 ** (suffix_tree._coarse(np.array([p for _, p in pairs])) / -6.0) if pairs else np.zeros(0)
-            gain, covered = suffix_tree.gains(np.array([float(c) for c, _ in pairs]), total, coarse, np.zeros(len(pairs), int), 1)
-            strengths[context] = float(suffix_tree.best_strength(gain, covered, np.array([float(count(context))]))[0])
-        return strengths[context]
+        return words[context[0]] if len(context) == 1 else grams[context]
+
+    known = {}
+
+    def tested(context):
+        """Contexts that occur twice are tested; those over two words also extend a retained and a tested one."""
+        return count(context) >= 2 and (len(context) <= 2 or (tested(context[:-1]) and strength(context[1:]) > 0))
+
+    def strength(context):
+        if context not in known:
+            known[context] = 0.0
+            if tested(context):
+                c = count(context)
+                twice = [(k, 2 ** (-round(-6 * math.log2(prob(context[1:], w))) / 6)) for w, k in nexts.get(context, {}).items() if k >= 2]
+                left = c - sum(k for k, _ in twice)
+                gains = []
+                for a in (1 / 64, 1 / 16, 1 / 4, 1.0, 4.0):
+                    gain = sum(k * math.log((k - 1 + a * (c - 1) * p) / ((c - 1) * (1 + a) * p)) for k, p in twice)
+                    gains.append((gain + left * math.log(a / (1 + a)), -a))
+                best, a = max(gains)
+                known[context] = -a if best > 2.0 else 0.0
+        return known[context]
 
     def prob(context, w):
         if not context:
-            return p0(w)
-        parent = prob(context[1:], w)
-        if count(context) < 2 or shorter(context, w) < 2:
-            return parent
-        a, c = strength(context, prob), count(context)
-        return (grams[len(context)][(*context, w)] + a * c * parent) / (c * (1 + a)) if a else parent
+            return (words[w] + 1) / (n + v + 1)
+        a, c = strength(context), count(context)
+        shorter = prob(context[1:], w)
+        return (grams[(*context, w)] + a * c * shorter) / (c * (1 + a)) if a else shorter
 
     out = {}
-    for i, (s, _) in seqs.items():
-        base = sum(math.log10(p0(w)) for w in s[1:])
+    for i, s, _ in seqs:
         score = 0.0
         for k in range(1, len(s)):
-            # a longer context counts only where all shorter steps had a pair to ask about
-            best = prob((), s[k])
-            for length in range(1, depth + 1):
-                if k - length < 0:
-                    break
-                context = tuple(s[k - length : k])
-                if count(context) < 2 or shorter(context, s[k]) < 2:
-                    break
-                best = prob(context, s[k])
-            score += math.log10(best)
+            score += math.log10(prob(tuple(s[max(0, k - depth) : k]), s[k]))
+        base = sum(math.log10((words[w] + 1) / (n + v + 1)) for w in s[1:])
         out[i] = (len(s) - 1, sum(words[w] > 0 for w in s[1:]), n, base, score)
-    assert hot_from <= n
-    return out
+    return out, max((len(c) for c, a in known.items() if a), default=0)
 
 
 def docs(seed):
@@ -202,12 +197,14 @@ def scored(spark, rows):
     return suffix_tree.score_texts(df, F.col("held")).collect()
 
 
-def test_scores_match_brute_force(spark):
+@pytest.mark.parametrize("depth", [2, 4])
+def test_scores_match_brute_force(spark, depth):
     rows = docs(1)
     unique = {r[0]: r for r in rows}
-    want = brute_scores([*unique.values(), (10_000, rows[3][1], rows[3][2])])
-    want.pop(10_000)
-    got = scored(spark, rows)
+    want, longest = plain_tree([*unique.values(), (10_000, rows[3][1], rows[3][2])], depth)
+    assert longest >= min(depth, 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean").withColumn("score", F.lit(1))
+    got = suffix_tree.score_texts(df, F.col("held"), depth=depth).collect()
     assert len(got) == len(rows)
     for r in got:
         n_tokens, n_known, n, base, score = want[r.doc_id]
@@ -230,6 +227,16 @@ def test_chunks_and_buckets_do_not_change_scores(spark):
     assert one == again
 
 
+def test_sorted_places():
+    rng = np.random.default_rng(0)
+    for top in (5, 1 << 40, 1 << 62):
+        key = rng.integers(0, top, 500)
+        one, number = suffix_tree._distinct(key)
+        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        assert (one == first).all() and (number == inverse).all()
+        assert (suffix_tree._order(key) == np.argsort(key, kind="stable")).all()
+
+
 def test_packing_of_arrays():
     for kind in ("<u4", "<u8", "u1", "<f4"):
         values = np.arange(1000).astype(kind)

@@ -7,7 +7,8 @@ A long text is read in windows of ``CORE`` bytes, in which the state starts ``CO
 before the window in its direction; each byte counts in one window, and all bytes count.
 
 Training runs in numpy by backpropagation through time on the whole texts of at most ``DOCUMENTS``
-labelled documents of each language, cut into pieces of the lengths ``PIECES`` in turn.
+labelled documents of each language, cut into pieces of the lengths ``PIECES`` in turn; half of the
+pieces are joined in pairs at random, each byte with the label of its own piece.
 """
 
 from __future__ import annotations
@@ -153,12 +154,12 @@ class Network:
         return logits / logits.sum(axis=2, keepdims=True)
 
     def gradients(self, batch: Batch, labels: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean cross-entropy over all bytes; ``labels`` are by string, in the batch's order."""
+        """Of the mean cross-entropy over all bytes; ``labels`` are by string or byte, in the batch's order."""
         tapes: tuple[list, list] = ([], [])
         prob, states = self.probabilities(batch, tapes)
         mask = batch.mask
         wrong = prob
-        wrong[np.arange(len(labels))[:, None], np.arange(prob.shape[1])[None, :], labels[:, None]] -= 1
+        wrong[np.arange(len(labels))[:, None], np.arange(prob.shape[1])[None, :], labels.reshape(len(labels), -1)] -= 1
         wrong *= mask[:, :, None] / mask.sum()
         g = {"v": np.einsum("bti,btk->ik", states * mask[:, :, None], wrong), "c": wrong.sum((0, 1))}
         d_states = wrong @ self.p["v"].T
@@ -214,8 +215,13 @@ def fit(examples: list[tuple[bytes, str]], seed: int = 3, epochs: int = EPOCHS)
     if len(languages) < 1:
         return net
     rng = np.random.default_rng(seed)
-    pairs = [(part, languages.index(lang)) for data, lang in examples for part in pieces(data)]
-    lengths = np.array([len(p) for p, _ in pairs])
+    cut = [(part, languages.index(lang)) for data, lang in examples for part in pieces(data)]
+    # half of the pieces follow one another at random, so that changes of language are learned
+    order = rng.permutation(len(cut))
+    pairs = [([cut[i]], len(cut[i][0])) for i in order[: len(order) // 2]]
+    rest = order[len(order) // 2 :]
+    pairs += [([cut[i] for i in rest[k : k + 2]], sum(len(cut[i][0]) for i in rest[k : k + 2])) for k in range(0, len(rest), 2)]
+    lengths = np.array([n for _, n in pairs])
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
     epochs = max(epochs, -(-STEPS * BATCH // max(1, len(pairs))))
@@ -226,8 +232,11 @@ def fit(examples: list[tuple[bytes, str]], seed: int = 3, epochs: int = EPOCHS)
         batches = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
         for k in rng.permutation(len(batches)):
             chosen = batches[k]
-            batch = Batch.of([pairs[i][0] for i in chosen])
-            labels = np.array([pairs[i][1] for i in chosen])[batch.order]
+            batch = Batch.of([b"".join(part for part, _ in pairs[i][0]) for i in chosen])
+            labels = np.zeros(batch.octets.shape, np.int64)
+            for row, o in enumerate(batch.order):
+                parts = pairs[chosen[o]][0]
+                labels[row, : batch.lengths[row]] = np.repeat([x for _, x in parts], [len(part) for part, _ in parts])
             step += 1
             rate = RATE * (1 - 0.9 * step / total)
             for name, grad in net.gradients(batch, labels).items():
