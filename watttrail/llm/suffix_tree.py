@@ -8,7 +8,9 @@ the oldest word) smooths its counts with its parent's distribution,
 
 and is retained if that beats the parent on its own occurrences by more than ``MARGIN`` nats, each
 occurrence judged without itself: the divergence of ``s`` from ``s'``, estimated leave-one-out. The
-strength ``a`` is the best of ``STRENGTHS`` under the same estimate.
+strength ``a`` is the best of ``STRENGTHS`` under the same estimate. All contexts of one and two words
+that occur twice are tested; a longer one if its parent is retained and the context without its
+last word was tested, so that levels become small as contexts grow long.
 
 Counting is distributed and exact over all training texts, up to collisions of hashes: 64 bits for
 words, 40 bits for contexts within a bucket (of which there are more the more the words), 32 bits
@@ -108,6 +110,32 @@ def _heard(answered: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return count, (count > 1) | ((count == 1) & ((own == 0) | (answered == 0)))
 
 
+def _packed(key: np.ndarray) -> tuple[np.ndarray, int] | None:
+    """Sorted keys with their places in the low bits, which sort faster than places alone; None if they do not fit."""
+    low = max(1, (len(key) - 1).bit_length())
+    if not len(key) or int(key.max()).bit_length() + low > 63:
+        return None
+    return np.sort((key << low) | np.arange(len(key))), low
+
+
+def _order(key: np.ndarray) -> np.ndarray:
+    """Stable order of non-negative keys."""
+    packed = _packed(key)
+    return np.argsort(key, kind="stable") if packed is None else packed[0] & ((1 << packed[1]) - 1)
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the first of each distinct key, in the order of keys, and each place's number among them."""
+    packed = _packed(key)
+    if packed is None:
+        return np.unique(key, return_index=True, return_inverse=True)[1:]
+    place = packed[0] & ((1 << packed[1]) - 1)
+    new = np.diff(packed[0] >> packed[1], prepend=-1) != 0
+    number = np.empty(len(key), np.int64)
+    number[place] = np.cumsum(new) - 1
+    return place[new], number
+
+
 _BASE = "chunk long, train_tokens long, ids array<{id}>, held array<boolean>, sizes binary, vocabulary binary, words binary"
 
 
@@ -181,25 +209,26 @@ class Replay:
         self.base = (self.known + 1) / (tokens + distinct + 1)
         self.p = self.base.copy()
         self.context, self.count, self.local = self.vocabulary[self.token], self.known.copy(), self.token
+        self.kept = np.ones(len(self.token), bool)  # positions whose context was retained so far
         self.hot_from = hot_from
 
     def pairs(self, level: int, buckets: int) -> bool:
         """Finds the distinct pairs of the next level; false if there are none."""
-        i = np.flatnonzero(self.place > level - 1)
+        i = np.flatnonzero((self.place > level - 1) & (self.kept if level > 2 else True))
         i = i[self.count[i - 1] >= 2]
         if not len(i):
             self.at = i
             return False
         # one sort of local numbers finds the pairs, a context's pairs side by side
         key = self.local[i - 1] * len(self.vocabulary) + self.token[i]
-        _, one, pair = np.unique(key, return_index=True, return_inverse=True)
+        one, pair = _distinct(key)
         own = np.bincount(pair, weights=self.train[i]).astype(np.int64)
         context, hashed = self.context[i[one] - 1], self.vocabulary[self.token[i[one]]]
         total, sent = self.count[i[one] - 1], self.sent[i[one]]
         hot = total >= self.hot_from
         home = (_mix(context, np.where(hot & sent, hashed, np.uint64(0))) % np.uint64(buckets)).astype(np.int64)
         # pairs to send come first, by bucket
-        order = np.lexsort((home, ~sent))
+        order = _order(home + np.where(sent, 0, buckets))
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         self.at, self.pair, self.n_sent = i, place[pair], int(sent.sum())
@@ -210,7 +239,7 @@ class Replay:
 
     def _contexts(self, local: np.ndarray, own: np.ndarray, total: np.ndarray, hot: np.ndarray) -> None:
         """Finds the contexts whose strength is to be asked for alone, by bucket."""
-        _, self.owner = np.unique(local, return_inverse=True)
+        self.owner = _distinct(local)[1]
         n, k = int(self.owner.max()) + 1, self.n_sent
         first = np.full(n, len(self.owner))
         np.minimum.at(first, self.owner, np.arange(len(self.owner)))
@@ -262,6 +291,9 @@ class Replay:
         self.local, self.sent = np.zeros_like(self.local), np.zeros_like(self.sent)
         self.local[self.at], self.sent[self.at] = self.pair, sent[self.pair]
         self.context, self.count = longer, counts
+        kept = np.zeros(len(self.kept), bool)
+        kept[self.at] = (strength > 0)[self.pair]
+        self.kept = kept
 
     def result(self) -> list:
         real, docs = ~self.leading, len(self.sizes)
