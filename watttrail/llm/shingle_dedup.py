@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from watttrail.operators.components import connected_components
 from watttrail.operators.skew import lookup
@@ -26,6 +27,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 GROUP = 64
+#: Ids of pairs that are broadcast at most, about 100 MB; more meet the shingles in a join.
+BROADCAST_IDS = 2_000_000
 SEED = 42
 _CHUNK = 2000
 _rng = np.random.default_rng(SEED)
@@ -65,16 +68,18 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def _prints(docs: DataFrame) -> DataFrame:
-    """``(id, grams, keys)``: each text's shingle hashes and band keys, worked out once."""
+    """``docs`` with ``grams`` and ``keys`` for ``text``: shingle hashes and band keys, worked out once."""
+    kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [shingles(t) for t in batch.column(1).to_pylist()]
+            grams = [shingles(t) for t in batch.column(len(kept)).to_pylist()]
             keys = [np.array(bands(g), np.uint64).view(np.int64) for g in grams]
-            arrays = [batch.column(0), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "grams", "keys"])
+            arrays = [*batch.columns[: len(kept)], pa.array([g.tobytes() for g in grams], pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, [*kept, "grams", "keys"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, grams binary, keys array<bigint>")
+    added = T.StructType.fromDDL("grams binary, keys array<bigint>")
+    return docs.select(*kept, "text").mapInArrow(run, T.StructType([*docs.select(*kept).schema.fields, *added.fields]))
 
 
 def _similar(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
@@ -82,7 +87,8 @@ def _similar(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
     total = pairs.count()
     for side, other in (("a", "b"), ("b", "a")):
         counts = pairs.groupBy(F.col(side).alias("id")).agg(F.count("*").alias("n"))
-        entries = prints.join(counts, "id").select(F.col("id").alias(side), F.col("grams").alias(f"{side}_grams"), "n")
+        few = counts.count() <= BROADCAST_IDS
+        entries = prints.join(F.broadcast(counts) if few else counts, "id").select(F.col("id").alias(side), F.col("grams").alias(f"{side}_grams"), "n")
         pairs = lookup(pairs, entries, side, "n", total, other)
     kind = pairs.schema["a"].dataType.simpleString()
 
@@ -101,7 +107,10 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Ids are distinct; rows with a null id are left out. Texts without words are similar to none.
     """
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    prints = stage(_prints(docs), "prints")
+    return _components(stage(_prints(docs), "prints"), least)
+
+
+def _components(prints: DataFrame, least: float) -> DataFrame:
     keyed = prints.select("id", F.explode("keys").alias("key"))
     sizes = stage(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1"), "buckets")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -122,13 +131,20 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row of each component of similar texts stays: that with the least id (null ids last), then the first read.
 
-    Rows are told apart by a number of their own, so ids may repeat or be null. An empty table
-    gives an empty result.
+    Rows are told apart by a number of their own, so ids may repeat or be null; of rows with one id
+    and text one stays. Texts without words are similar to none and all stay. An empty table gives
+    an empty result.
     """
-    rows = stage(df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "rows")
-    found = similar_components(rows.select("number", F.col(f"row.{text_col}").alias("text")), "number", "text", least)
-    ids = rows.select(F.col("number").alias("node"), F.col(f"row.{id_col}").alias("id")).join(found, "node")
-    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("node"))
-    first = ids.groupBy("root").agg(F.min(order)["node"].alias("first"))
-    gone = ids.join(first, "root").where("node <> first").select(F.col("node").alias("number"))
-    return rows.join(gone, "number", "left_anti").select("row.*")
+    rows = df.select(F.monotonically_increasing_id().alias("id"), F.col(id_col).alias("own"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text"))
+    prints = stage(_prints(rows), "prints")
+    found = _components(prints, least).withColumnRenamed("node", "id")
+    ids = prints.select("id", "own", "content").join(found, "id")
+    key = F.struct("own", "content").alias("key")
+    order = F.struct(F.col("own").isNull(), "own", "id")
+    first = ids.groupBy("root").agg(F.min_by(key, order).alias("stays"))
+    # rows with one id and text are copies, of which the last step leaves one
+    gone = stage(ids.join(first, "root").select(key, (F.struct("own", "content") == F.col("stays")).alias("copy")).distinct(), "gone")
+    keyed = df.select(F.struct("*").alias("row"), F.struct(F.col(id_col).alias("own"), F.xxhash64(text_col).alias("content")).alias("key"))
+    single = keyed.join(gone.select("key"), "key", "left_anti").select("row.*")
+    copies = keyed.join(gone.where("copy").select("key"), "key", "left_semi")
+    return single.unionByName(copies.groupBy("key").agg(F.first("row").alias("row")).select("row.*"))
