@@ -11,11 +11,12 @@ uncompared. No pair is linked unless its exact similarity reaches the threshold.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +32,8 @@ GROUP = 64
 BROADCAST_IDS = 2_000_000
 SEED = 42
 _CHUNK = 2000
+_ROWS_AT_ONCE = 256
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _rng = np.random.default_rng(SEED)
 _FACTORS = _rng.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
 _OFFSETS = _rng.integers(0, 2**64, BANDS * ROWS, np.uint64)
@@ -73,10 +76,12 @@ def _prints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [shingles(t) for t in batch.column(len(kept)).to_pylist()]
-            keys = [np.array(bands(g), np.uint64).view(np.int64) for g in grams]
-            arrays = [*batch.columns[: len(kept)], pa.array([g.tobytes() for g in grams], pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, [*kept, "grams", "keys"])
+            for lo in range(0, batch.num_rows, _ROWS_AT_ONCE):
+                part = batch.slice(lo, _ROWS_AT_ONCE)
+                grams = [shingles(t) for t in part.column(len(kept)).to_pylist()]
+                keys = [np.array(bands(g), np.uint64).view(np.int64) for g in grams]
+                arrays = [*part.columns[: len(kept)], pa.array([g.tobytes() for g in grams], pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, [*kept, "grams", "keys"])
 
     added = T.StructType.fromDDL("grams binary, keys array<bigint>")
     return docs.select(*kept, "text").mapInArrow(run, T.StructType([*docs.select(*kept).schema.fields, *added.fields]))
@@ -110,6 +115,17 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return _components(stage(_prints(docs), "prints"), least)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Few rows go to Python at once while pairs are compared, as a row holds the shingles of two texts."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(_ROWS_AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def _components(prints: DataFrame, least: float) -> DataFrame:
     keyed = prints.select("id", F.explode("keys").alias("key"))
     sizes = stage(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1"), "buckets")
@@ -117,7 +133,8 @@ def _components(prints: DataFrame, least: float) -> DataFrame:
     entries = sizes.select("key", "hub", "n", F.col("n").alias("size"))
     members = stage(lookup(keyed, entries, "key", "n", total, "id").where("size is not null"), "members")
     stars = stage(members.where("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    links = stage(_similar(stars, prints, least), "links")
+    with _small_batches(prints.sparkSession):
+        links = stage(_similar(stars, prints, least), "links")
     linked = connected_components(links).select(F.col("node").alias("id"), "root")
     rooted = members.join(linked, "id", "left").withColumn("root", F.coalesce("root", "id"))
     group = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("size") / GROUP))
@@ -125,7 +142,9 @@ def _components(prints: DataFrame, least: float) -> DataFrame:
     one = dealt.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y"))
     apart = one.where("x.root <> y.root and x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     rest = stage(apart.join(stars, ["a", "b"], "left_anti"), "apart")
-    return connected_components(links.union(_similar(rest, prints, least)))
+    with _small_batches(prints.sparkSession):
+        more = stage(_similar(rest, prints, least), "more")
+    return connected_components(links.union(more))
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
