@@ -112,12 +112,14 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Ids are distinct; rows with a null id are left out. Texts without words are similar to none.
     """
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return _components(stage(_prints(docs), "prints"), least)
+    with _small_batches(df.sparkSession):
+        prints = stage(_prints(docs), "prints")
+    return _components(prints, least)
 
 
 @contextmanager
 def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Few rows go to Python at once while pairs are compared, as a row holds the shingles of two texts."""
+    """Few rows go to Python at once, as a row holds whole texts or the shingles of two."""
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, str(_ROWS_AT_ONCE))
     try:
@@ -155,7 +157,8 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an empty result.
     """
     rows = df.select(F.monotonically_increasing_id().alias("id"), F.col(id_col).alias("own"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text"))
-    prints = stage(_prints(rows), "prints")
+    with _small_batches(df.sparkSession):
+        prints = stage(_prints(rows), "prints")
     found = _components(prints, least).withColumnRenamed("node", "id")
     ids = prints.select("id", "own", "content").join(found, "id")
     key = F.struct("own", "content").alias("key")
