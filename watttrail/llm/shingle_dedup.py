@@ -33,7 +33,8 @@ BROADCAST_IDS = 2_000_000
 SEED = 42
 _CHUNK = 2000
 _ROWS_AT_ONCE = 256
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(_ROWS_AT_ONCE), "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+_BLANKS = np.frombuffer(b" \t\n\v\f\r", np.uint8)
 _rng = np.random.default_rng(SEED)
 _FACTORS = _rng.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
 _OFFSETS = _rng.integers(0, 2**64, BANDS * ROWS, np.uint64)
@@ -41,15 +42,19 @@ _OFFSETS = _rng.integers(0, 2**64, BANDS * ROWS, np.uint64)
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles; a shorter text is one shingle."""
-    words = (text or "").encode().lower().split()
-    if not words:
+    raw = np.frombuffer((text or "").encode().lower(), np.uint8)
+    word = ~np.isin(raw, _BLANKS)
+    if not word.any():
         return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
-    stops = ends[shingle - 1 :].tolist() or [len(joined)]
+    # every word with one blank after it; the last has none
+    after = np.concatenate(([False], word[:-1])) & ~word
+    joined = np.where(word, raw, _BLANKS[0])[word | after].tobytes().rstrip()
+    ends = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == _BLANKS[0]), len(joined))
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    stops = ends[shingle - 1 :] if len(ends) >= shingle else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=False)], np.uint64))
+    spans = zip(starts.tolist(), stops.tolist(), strict=False)
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(stops)))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -119,13 +124,15 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 @contextmanager
 def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Few rows go to Python at once, as a row holds whole texts or the shingles of two."""
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(_ROWS_AT_ONCE))
+    """Few rows and bytes go to Python at once, as a row holds whole texts or the shingles of two."""
+    before = {key: spark.conf.get(key) for key in _BATCH}
+    for key, value in _BATCH.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_BATCH, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def _components(prints: DataFrame, least: float) -> DataFrame:
