@@ -23,6 +23,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from watttrail.llm.memory import released
+
 UNDETERMINED = "und"
 HIDDEN = 8
 CORE, CONTEXT = 448, 32
@@ -348,20 +350,21 @@ def predict(df: DataFrame, net: Network, text_col: str = "text", keep: list[str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*net.languages, UNDETERMINED], object)
         none = len(net.languages)
-        for batch in batches:
-            every = batch.column(at).to_pylist()
-            for part in _chunks(every):
-                texts = every[part]
-                silent = [not net.languages or not has_letter(t or "") for t in texts]
-                found = read_texts(texts, net) if net.languages else Read(np.zeros((len(texts), 1)), [np.zeros(len(octets_of(t)), np.uint8) for t in texts])
-                prob = found.probabilities
-                prob[silent] = 0.0
-                best, score = prob.argmax(axis=1), prob.max(axis=1, initial=0.0)
-                best[silent] = none
-                arrays = [*(c.slice(part.start, len(texts)) for c in batch.columns[: len(kept)]), pa.array(names[best], pa.string()), pa.array(np.minimum(score, 1.0))]
-                if spans:
-                    arrays.append(_runs([np.full(len(x), none, np.uint8) if s else x for x, s in zip(found.labels, silent, strict=True)], net.languages))
-                yield pa.RecordBatch.from_arrays(arrays, [*kept, *results])
+        with released():
+            for batch in batches:
+                every = batch.column(at).to_pylist()
+                for part in _chunks(every):
+                    texts = every[part]
+                    silent = [not net.languages or not has_letter(t or "") for t in texts]
+                    found = read_texts(texts, net) if net.languages else Read(np.zeros((len(texts), 1)), [np.zeros(len(octets_of(t)), np.uint8) for t in texts])
+                    prob = found.probabilities
+                    prob[silent] = 0.0
+                    best, score = prob.argmax(axis=1), prob.max(axis=1, initial=0.0)
+                    best[silent] = none
+                    arrays = [*(c.slice(part.start, len(texts)) for c in batch.columns[: len(kept)]), pa.array(names[best], pa.string()), pa.array(np.minimum(score, 1.0))]
+                    if spans:
+                        arrays.append(_runs([np.full(len(x), none, np.uint8) if s else x for x, s in zip(found.labels, silent, strict=True)], net.languages))
+                    yield pa.RecordBatch.from_arrays(arrays, [*kept, *results])
 
     return rows.mapInArrow(run, schema)
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from watttrail.llm.memory import BATCH_BYTES, released
 from watttrail.operators.components import connected_components
 from watttrail.operators.skew import lookup
 from watttrail.session import stage
@@ -33,7 +34,7 @@ BROADCAST_IDS = 2_000_000
 SEED = 42
 _CHUNK = 2000
 _ROWS_AT_ONCE = 256
-_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(_ROWS_AT_ONCE), "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(_ROWS_AT_ONCE), "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 _BLANKS = np.frombuffer(b" \t\n\v\f\r", np.uint8)
 _rng = np.random.default_rng(SEED)
 _FACTORS = _rng.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -80,13 +81,14 @@ def _prints(docs: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, _ROWS_AT_ONCE):
-                part = batch.slice(lo, _ROWS_AT_ONCE)
-                grams = [shingles(t) for t in part.column(len(kept)).to_pylist()]
-                keys = [np.array(bands(g), np.uint64).view(np.int64) for g in grams]
-                arrays = [*part.columns[: len(kept)], pa.array([g.tobytes() for g in grams], pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, [*kept, "grams", "keys"])
+        with released():
+            for batch in batches:
+                for lo in range(0, batch.num_rows, _ROWS_AT_ONCE):
+                    part = batch.slice(lo, _ROWS_AT_ONCE)
+                    grams = [shingles(t) for t in part.column(len(kept)).to_pylist()]
+                    keys = [np.array(bands(g), np.uint64).view(np.int64) for g in grams]
+                    arrays = [*part.columns[: len(kept)], pa.array([g.tobytes() for g in grams], pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(arrays, [*kept, "grams", "keys"])
 
     added = T.StructType.fromDDL("grams binary, keys array<bigint>")
     return docs.select(*kept, "text").mapInArrow(run, T.StructType([*docs.select(*kept).schema.fields, *added.fields]))
@@ -103,10 +105,11 @@ def _similar(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = zip(batch.column("a_grams"), batch.column("b_grams"), strict=True)
-            keep = [similarity(*(np.frombuffer(x.as_buffer(), np.uint64) for x in both)) >= least for both in sets]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        with released():
+            for batch in batches:
+                sets = zip(batch.column("a_grams"), batch.column("b_grams"), strict=True)
+                keep = [similarity(*(np.frombuffer(x.as_buffer(), np.uint64) for x in both)) >= least for both in sets]
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(run, f"a {kind}, b {kind}")
 
