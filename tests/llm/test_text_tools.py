@@ -131,6 +131,19 @@ def test_text_nbest_matches_the_whole_lattice(lattice):
         assert tuple(np.frombuffer(ids, "<u4")) in {i for s, i in every if s == pytest.approx(every[0][0])}
 
 
+def test_segmentations_have_their_scores_and_spell_the_text(lattice, spark):
+    texts = [t for t in ODD if t != "x" * 5000] + ["the unbelievable untimely rebuilding of houses " * 30]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    of_id = {k: score for score, k in lattice.scores.values()}
+    for row in pieces.encode_texts(df, piece_bpe(), n=5, segmentations=True).collect():
+        assert len(row.nbest_ids) == len(row.nbest_scores) == len({tuple(x) for x in row.nbest_ids})
+        assert row.nbest_ids[0] == row.piece_ids
+        for ids, score in zip(row.nbest_ids, row.nbest_scores, strict=True):
+            assert lattice.decode(ids) == lattice.decode(row.piece_ids)
+            if all(i in of_id for i in ids):
+                assert math.isclose(sum(of_id[i] for i in ids), score, rel_tol=1e-9, abs_tol=1e-6)
+
+
 def test_round_trip(spark):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(99, "word " * 3000), (99, "word " * 3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("round_trip", F.lit(0))
