@@ -19,6 +19,10 @@ def test_lookup_serves_hot_cold_and_missing_keys(spark):
     got = {r.row: r.value for r in lookup(rows, entries, "key", "n", 2500, "row").collect()}
     want = {"hot": "H"} | {f"k{i}": f"v{i}" for i in range(500)}
     assert got == {i: want.get(k) for i, k in enumerate(keys)}
+    odd = rows.withColumns({"hot": F.lit(1), "cold": F.lit(2), "salt": F.lit(3), "k": F.lit(4), "_hot": F.lit(5)})
+    found = lookup(odd, entries, "key", "n", 2500, "row")
+    assert found.columns == [*odd.columns, "value"]
+    assert {r.row: r.value for r in found.collect()} == got
 
 
 def test_components_of_paths_stars_and_cycles(spark):

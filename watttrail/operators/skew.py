@@ -15,14 +15,18 @@ def lookup(rows: DataFrame, entries: DataFrame, key: str, weight: str, total: in
 
     ``weight`` is the column of ``entries`` with the number of rows of each key and ``total``
     their sum. The hot keys, at most 1000 whatever the size of the data, are broadcast. Rows
-    they serve still pass through the shuffled join of the other keys, spread by ``spread_by``
-    under a salt that nothing matches.
+    they serve and rows with a null key still pass through the shuffled join of the other keys,
+    spread by ``spread_by`` under a salt that nothing matches. Columns of ``rows`` may have any
+    names; the values of ``entries`` come after them.
     """
     least = max(2, int(total * HOT_SHARE))
     values = [c for c in entries.columns if c not in (key, weight)]
-    hot = entries.where(F.col(weight) >= least).select(key, F.struct(*values).alias("_hot"))
-    cold = entries.where(F.col(weight) < least).select(key, F.struct(*values).alias("_cold"), F.lit(0).alias("_salt"))
-    salt = F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(spread_by), F.lit(SPREAD))).otherwise(0).cast("int")
-    joined = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).join(cold, [key, "_salt"], "left")
-    found = F.coalesce("_hot", "_cold")
-    return joined.select(*rows.columns, *[found[c].alias(c) for c in values])
+    hot = entries.where(F.col(weight) >= least).select(F.col(key).alias("k"), F.struct(*values).alias("hot"))
+    cold = entries.where(F.col(weight) < least).select(F.col(key).alias("k"), F.struct(*values).alias("cold"), F.lit(0).alias("salt"))
+    at = {c: f"c{i}" for i, c in enumerate(rows.columns)}
+    plain = rows.toDF(*at.values()).withColumn("k", F.col(at[key]))
+    served = F.col("hot").isNotNull() | F.col("k").isNull()
+    salt = F.when(served, 1 + F.pmod(F.xxhash64(at[spread_by]), F.lit(SPREAD))).otherwise(0).cast("int")
+    joined = plain.join(F.broadcast(hot), "k", "left").withColumn("salt", salt).join(cold, ["k", "salt"], "left")
+    found = F.coalesce("hot", "cold")
+    return joined.select(*[F.col(place).alias(c) for c, place in at.items()], *[found[c].alias(c) for c in values])
