@@ -187,10 +187,31 @@ def test_inheritance(spark):
     ]
     df = spark.createDataFrame(files, "path string, text string").withColumn("license", F.lit(1))
     found = licenses.scan_licenses(df)
-    assert found.columns == ["path", "own_license", "own_score", "license", "inherited_from"]
+    assert found.columns == ["path", "own_license", "own_score", "own_licenses", "license", "inherited_from"]
     got = sorted((str(r.path), str(r.license), r.inherited_from) for r in found.collect())
     assert got == sorted([
         ("LICENSE", "MIT", None), ("a/COPYING.txt", "GPL-3.0", None), ("a/b/c/x.py", "GPL-3.0", "a"), ("a/b/c/x.py", "GPL-3.0", "a"), ("a/b/c/y.py", "Apache-2.0", None),
         ("ab/z.py", "MIT", ""), ("a/b/license.md", "GPL-3.0", "a"), ("q", "MIT", ""), ("None", "None", None), ("None", "Apache-2.0", None),
     ], key=lambda r: (r[0], r[1]))
     assert licenses.scan_licenses(df.where("false")).collect() == []
+
+
+def test_licence_files_wrapped_headers_and_two_licences(spark):
+    mit, apache = licenses.TEMPLATES["MIT"][-1], licenses.TEMPLATES["Apache-2.0"][-1]
+    header = "\n".join(f" * {part}" for part in (apache[:60], apache[60:]))
+    files = [
+        (1, "MIT License\n\nCopyright (c) 2020 A B\n\n" + mit.replace("\n", " ").replace(". ", ".\n\n"), "MIT", ["MIT"]),
+        (2, "Redistribution notes\n" + licenses.TEMPLATES["BSD-3-Clause"][-1], "BSD-3-Clause", ["BSD-3-Clause"]),
+        (3, f"/*\n{header}\n */\n" + "code here;\n" * 2000, "Apache-2.0", ["Apache-2.0"]),
+        (4, "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + "terms and conditions\n" * 500, "GPL-3.0", ["GPL-3.0"]),
+        (5, "Released under the MIT License.\nmore\nSPDX-License-Identifier: GPL-3.0-only\n", "GPL-3.0", ["GPL-3.0", "MIT"]),
+        (6, "word " * 200_000, None, []), (7, "", None, []), (8, None, None, []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, t, *_ in files], "path long, text string").withColumn("path", F.concat(F.lit("d/f"), "path"))
+    odd = df.withColumns({c: F.lit("x") for c in ("lent", "above", "_hot", "_cold", "_dir", "dir", "own_licenses")})
+    found = licenses.scan_licenses(odd)
+    assert found.columns == ["path", "lent", "above", "_hot", "_cold", "_dir", "dir", "own_license", "own_score", "own_licenses", "license", "inherited_from"]
+    got = {int(r.path[3:]): (r.own_license, r.own_licenses) for r in found.collect() if r.lent == r.dir == r._dir == "x"}
+    assert got.keys() == {i for i, *_ in files}
+    for i, _, best, every in files:
+        assert got[i][1] == every and (best is None) == (got[i][0] is None) and (i == 5 or got[i][0] == best), i

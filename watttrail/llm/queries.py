@@ -11,10 +11,15 @@ from watttrail.session import new_path, table
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from watttrail.llm.licenses import scan_licenses
 
-    # the documents as files: a directory for each source, packages in it, one file in four a licence file
-    package = F.concat(F.lit("/pkg"), F.floor(F.col("doc_id") / 8) % 50)
-    file = F.when(F.col("doc_id") % 4 == 0, F.lit("/LICENSE")).otherwise(F.concat(F.lit("/src/f"), F.col("doc_id").cast("string")))
-    documents = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", package, file).alias("path"), "text")
+    # the documents as files of a tree that grows with their number: packages of 512 in each source, modules of 8
+    # in them; one file in four is the licence file of its module, one in 64 that of its package
+    doc = F.col("doc_id")
+    package = F.concat(F.lit("/pkg"), F.floor(doc / 512))
+    module = F.concat(F.lit("/m"), F.floor(doc / 8) % 64)
+    file = F.when(doc % 64 == 0, F.lit("/LICENSE")).when(doc % 4 == 0, F.concat(module, F.lit("/LICENSE")))
+    file = file.otherwise(F.concat(module, F.lit("/src/f"), doc.cast("string")))
+    path = F.concat(F.coalesce("source", F.lit("unknown")), package, file)
+    documents = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
     return scan_licenses(documents)
 
 
