@@ -23,8 +23,8 @@ def lookup(rows: DataFrame, entries: DataFrame, key: str, weight: str, total: in
     values = [c for c in entries.columns if c not in (key, weight)]
     hot = entries.where(F.col(weight) >= least).select(F.col(key).alias("k"), F.struct(*values).alias("hot"))
     cold = entries.where(F.col(weight) < least).select(F.col(key).alias("k"), F.struct(*values).alias("cold"), F.lit(0).alias("salt"))
-    at = {c: f"c{i}" for i, c in enumerate(rows.columns)}
-    plain = rows.toDF(*at.values()).withColumn("k", F.col(at[key]))
+    at = {c: "k" if c == key else f"c{i}" for i, c in enumerate(rows.columns)}
+    plain = rows.toDF(*at.values())
     served = F.col("hot").isNotNull() | F.col("k").isNull()
     salt = F.when(served, 1 + F.pmod(F.xxhash64(at[spread_by]), F.lit(SPREAD))).otherwise(0).cast("int")
     joined = plain.join(F.broadcast(hot), "k", "left").withColumn("salt", salt).join(cold, ["k", "salt"], "left")
