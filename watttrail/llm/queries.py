@@ -127,6 +127,12 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from watttrail.llm.manifest import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_feistel_shards": op2_feistel_shards,
@@ -138,6 +144,7 @@ QUERIES = {
     "op8_multi_index_hashing": op8_multi_index_hashing,
     "op9_simhash_blocks": op9_simhash_blocks,
     "op10_sum_of_squares_packing": op10_sum_of_squares_packing,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _EQUAL_TEXTS = r"""
@@ -167,7 +174,62 @@ select page_id, payload_bytes, payload_digest,
 from r
 """
 
+# crc32 of the id's decimal digits bit by bit; trees level by level, a node's run being pos // 16
+_MANIFEST = """
+with recursive f as (
+  select *, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' az, cast(doc_id as varchar) id from documents),
+d as (
+  select doc_id, coalesce('=' || source, '') g,
+         concat_ws('', coalesce(strlen(id) || ':' || id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                   coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-')) head, text,
+         translate(text, az, lower(az)) lowered,
+         list_reduce(list_prepend(4294967295::bigint, list_transform(range(8 * strlen(id)), lambda i: case when i % 8 = 0 then ascii(id[(i // 8 + 1)::bigint])::bigint else 0 end)),
+                     lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)) crc
+  from f),
+leaf as (
+  select doc_id, g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) leaf,
+         case when xor(crc, 4294967295) % 5 = 0 then sha256(head || coalesce(strlen(lowered) || ':' || lowered, '-')) end tampered
+  from d),
+placed as (
+  select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 pos, count(*) over (partition by g) size from leaf),
+tree as (
+  select g, 0 lvl, pos, size, leaf digest from placed
+  union all
+  select g, lvl + 1, pos // 16, any_value((size + 15) // 16), sha256(string_agg(digest, '' order by pos)) from tree where size > 1 group by g, lvl, pos // 16),
+tops as (
+  select g source, digest subroot, row_number() over (order by g) - 1 pos, count(*) over () size from tree where size = 1),
+upper_tree as (
+  select 0 lvl, pos, size, subroot digest from tops
+  union all
+  select lvl + 1, pos // 16, any_value((size + 15) // 16), sha256(string_agg(digest, '' order by pos)) from upper_tree where size > 1 group by lvl, pos // 16),
+hops as (
+  select p.g, p.pos node, t.lvl, coalesce(string_agg(o.digest, '' order by o.pos) filter (o.pos < t.pos), '') lefts,
+         coalesce(string_agg(o.digest, '' order by o.pos) filter (o.pos > t.pos), '') rights
+  from placed p join tree t on t.g = p.g and t.size > 1 and t.pos = p.pos // (16 ** t.lvl)::bigint
+       join tree o on o.g = t.g and o.lvl = t.lvl and o.pos // 16 = t.pos // 16
+  group by p.g, p.pos, t.lvl, t.pos),
+upper_hops as (
+  select p.source g, 100 + t.lvl lvl, coalesce(string_agg(o.digest, '' order by o.pos) filter (o.pos < t.pos), '') lefts,
+         coalesce(string_agg(o.digest, '' order by o.pos) filter (o.pos > t.pos), '') rights
+  from tops p join upper_tree t on t.size > 1 and t.pos = p.pos // (16 ** t.lvl)::bigint
+       join upper_tree o on o.lvl = t.lvl and o.pos // 16 = t.pos // 16
+  group by p.source, t.lvl, t.pos),
+way as (
+  select g, node, row_number() over (partition by g, node order by lvl) step, lefts, rights
+  from (select * from hops union all select p.g, p.pos, u.lvl, u.lefts, u.rights from placed p join upper_hops u on u.g = p.g)),
+fold as (
+  select g, pos node, 0 step, coalesce(tampered, leaf) own from placed
+  union all
+  select w.g, w.node, w.step, sha256(w.lefts || f.own || w.rights) from fold f join way w on w.g = f.g and w.node = f.node and w.step = f.step + 1),
+folded as (select g, node, arg_max(own, step) own from fold group by g, node),
+proofs as (select g, node, sha256(string_agg(lefts || rights, '' order by step)) proof from way group by g, node)
+select p.doc_id, p.leaf, t.subroot, (select digest from upper_tree where size = 1) as root,
+       coalesce(r.proof, sha256('')) as proof_sha256, f.own as folded_root, f.own = (select digest from upper_tree where size = 1) as verified
+from placed p join tops t on t.source = p.g join folded f on f.g = p.g and f.node = p.pos left join proofs r on r.g = p.g and r.node = p.pos
+"""
+
 ORACLE_SQL = {
+    "op13_merkle_manifest": _MANIFEST,
     "op6_content_addressed_warc": _REVISITS,
     "op4_bloom_exact_dedup": _EQUAL_TEXTS,
 }

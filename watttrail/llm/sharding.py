@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from watttrail.llm.columns import numbered, place, restored
 from watttrail.session import stage
 
 ROUNDS = 6
@@ -55,36 +56,41 @@ def number_rows(df: DataFrame, key: list[str], number: str = "row_number", total
 
     Rows with equal keys get consecutive numbers in an order that is not defined, so ``key``
     should tell apart whatever must be told apart. A key that many rows share is split over
-    partitions by a tie-break.
+    partitions by a tie-break. Other columns of ``df`` may have any names.
     """
-    tagged = df.withColumn("_tie", F.monotonically_increasing_id())
-    ordered = tagged.repartitionByRange(*key, "_tie").sortWithinPartitions(*key, "_tie").drop("_tie")
-    staged = stage(ordered.withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    part, index = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    counts = staged.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    keys = [F.col(f"c{place(df, k)}") for k in key]
+    tagged = numbered(df).withColumn("tie", F.monotonically_increasing_id())
+    ordered = tagged.repartitionByRange(*keys, "tie").sortWithinPartitions(*keys, "tie").drop("tie")
+    staged = stage(ordered.withColumn("at", F.monotonically_increasing_id()), "numbered")
+    part, index = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    counts = staged.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(
-        "_part",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
-        F.sum("_rows").over(W.partitionBy()).alias(total),
+        "part",
+        F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"),
+        F.sum("rows").over(W.partitionBy()).alias("total"),
     )
     # one row per partition of the exchange
-    joined = staged.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    return joined.withColumn(number, F.col("_before") + index).drop("_part", "_before", "_at")
+    joined = staged.withColumn("part", part).join(F.broadcast(offsets), "part")
+    return restored(joined, df.columns, (F.col("before") + index).alias(number), F.col("total").alias(total))
 
 
 def shard_rows(df: DataFrame, key: list[str], shards: int, seed: int = 0) -> DataFrame:
     """Adds ``shard`` (int) and ``slot`` (long, from 0) to every row of ``df``.
 
     Nulls in the key count as a value of their own. Repeated rows are all kept. An empty table
-    gives an empty result. Columns named ``shard``, ``slot``, ``row_number`` or ``row_count``
-    are replaced.
+    gives an empty result. Columns named ``shard``, ``slot``, ``row_number`` or ``row_count``, in
+    any case, are replaced; other columns may have any names, two that differ in case included.
     """
-    df = df.drop("shard", "slot", "row_number", "row_count")
-    placed = number_rows(df, key).withColumn("_p", permute(F.col("row_number"), F.col("row_count"), seed))
+    own = ("shard", "slot", "row_number", "row_count")
+    kept = [(i, c) for i, c in enumerate(df.columns) if c.lower() not in own]
+    plain = numbered(df).select(*(F.col(f"c{i}").alias(f"k{i}") for i, _ in kept))
+    at = {c: f"k{i}" for i, c in reversed(kept)}
+    keys = [at[k] if k in at else f"k{place(df, k)}" for k in key]
+    placed = number_rows(plain, keys, "number", "total").withColumn("p", permute(F.col("number"), F.col("total"), seed))
     return placed.select(
-        *df.columns,
-        "row_number",
-        F.pmod("_p", F.lit(shards)).cast("int").alias("shard"),
-        F.floor(F.col("_p") / shards).cast("long").alias("slot"),
+        *(F.col(f"k{i}").alias(c) for i, c in kept),
+        F.col("number").alias("row_number"),
+        F.pmod("p", F.lit(shards)).cast("int").alias("shard"),
+        F.floor(F.col("p") / shards).cast("long").alias("slot"),
     )
