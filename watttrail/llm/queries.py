@@ -127,6 +127,12 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from watttrail.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from watttrail.llm.manifest import manifest
 
@@ -144,6 +150,7 @@ QUERIES = {
     "op8_multi_index_hashing": op8_multi_index_hashing,
     "op9_simhash_blocks": op9_simhash_blocks,
     "op10_sum_of_squares_packing": op10_sum_of_squares_packing,
+    "op12_source_divergence": op12_source_divergence,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -228,7 +235,45 @@ select p.doc_id, p.leaf, t.subroot, (select digest from upper_tree where size =
 from placed p join tops t on t.source = p.g join folded f on f.g = p.g and f.node = p.pos left join proofs r on r.g = p.g and r.node = p.pos
 """
 
+# every kept term against every source of its language
+_DIVERGENCE = r"""
+with d as (
+  select doc_id, coalesce(lang, '') lang, coalesce(source, '') source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') lowered
+  from documents),
+t as (
+  select lang, source, unnest(found) term, unnest(list_transform(found, lambda x: list_count(list_filter(every, lambda y: y = x)))) n
+  from (select *, list_distinct(every) found from (
+    select lang, source, regexp_extract_all(lowered, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') every from d))),
+kept as (select lang, term, sum(n)::hugeint lang_n from t group by all having count(*) >= 3),
+v as (select lang, count(*)::hugeint kept, sum(lang_n)::hugeint lang_total from kept group by all),
+n as (select lang, source, term, sum(n)::hugeint n from t join kept using (lang, term) group by all),
+totals as (select lang, source, sum(n)::hugeint total from n group by all),
+g as (select distinct lang, source from d),
+p as (
+  select g.lang, g.source, k.term, coalesce(n.n, 0) n,
+         1 + (1000000000 * (coalesce(n.n, 0) + 1)) // (coalesce(s.total, 0) + v.kept) p,
+         1 + (1000000000 * (k.lang_n + 1)) // (v.lang_total + v.kept) q
+  from g join kept k on k.lang = g.lang join v on v.lang = g.lang
+       left join totals s on s.lang = g.lang and s.source = g.source
+       left join n on n.lang = g.lang and n.source = g.source and n.term = k.term),
+pairs as (
+  select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // b.p) value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+every_pair as (
+  select a.lang, a.source, b.source item, coalesce(x.value, 0) value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+       left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+terms as (select lang, source, term item, (p - q) * (p - q) // q as value from p where n > 0 and p > q),
+ranked as (
+  select lang, source, 'pair' part, item, value, row_number() over (partition by lang, source order by value desc, item) rank from every_pair
+  union all
+  select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item) from terms)
+select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= 200
+"""
+
 ORACLE_SQL = {
+    "op12_source_divergence": _DIVERGENCE,
     "op13_merkle_manifest": _MANIFEST,
     "op6_content_addressed_warc": _REVISITS,
     "op4_bloom_exact_dedup": _EQUAL_TEXTS,
