@@ -142,6 +142,8 @@ def _block_keys(hashes: np.ndarray, size_class: int, num: int, den: int) -> np.n
 def signatures(hashes: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     """Keys of a sorted set; any two sets within the bound that differ share one."""
     n = len(hashes)
+    if num == den:
+        return _NONE  # equal sets are one class already
     found = [_short_keys(hashes, num, den)] if n <= SHORT else []
     edges = _edges(num, den)
     own = int(np.searchsorted(edges, n, "right")) - 1

@@ -127,6 +127,12 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op11_sparse_product_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from watttrail.llm.overlap import similar_texts
+
+    return similar_texts(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from watttrail.llm.divergence import divergence
 
@@ -150,6 +156,7 @@ QUERIES = {
     "op8_multi_index_hashing": op8_multi_index_hashing,
     "op9_simhash_blocks": op9_simhash_blocks,
     "op10_sum_of_squares_packing": op10_sum_of_squares_packing,
+    "op11_sparse_product_jaccard": op11_sparse_product_jaccard,
     "op12_source_divergence": op12_source_divergence,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -272,7 +279,29 @@ ranked as (
 select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= 200
 """
 
+# every pair of different sets that shares a gram, and what is reachable from each
+_JACCARD = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w
+  from documents),
+s as (
+  select doc_id, list_sort(list_distinct(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                              when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) grams
+  from d),
+classes as (select grams, min(doc_id) rep, len(grams) n from s where len(grams) > 0 group by grams),
+g as (select rep, n, unnest(grams) gram from classes),
+linked as (
+  select a.rep lo, b.rep hi from g a join g b on a.gram = b.gram and a.rep < b.rep and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+edges as (select lo, hi from linked union all select hi, lo from linked),
+reach as (select rep, rep far from classes union select r.rep, e.hi from reach r join edges e on e.lo = r.far),
+found as (select rep, min(far) least from reach group by rep)
+select s.doc_id, len(s.grams) as n_shingles, coalesce(f.least, s.doc_id) as component_id
+from s left join classes c on c.grams = s.grams left join found f on f.rep = c.rep
+"""
+
 ORACLE_SQL = {
+    "op11_sparse_product_jaccard": _JACCARD,
     "op12_source_divergence": _DIVERGENCE,
     "op13_merkle_manifest": _MANIFEST,
     "op6_content_addressed_warc": _REVISITS,
