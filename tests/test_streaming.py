@@ -1,6 +1,7 @@
 """Streams that stop, start again and see a session's turns in any order."""
 
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,45 @@ def test_a_message_that_moves_to_a_later_commit_leaves_the_former(spark, place):
     assert booked(spark, place) == {("s", "c10"): (1, 1), ("s", "c20"): (1, 5), ("t", "c20"): (1, 6)}
 
 
+def both_arrive(spark, place, rows=(), *hours):
+    """More files for the streams of turns and of commits, then a run of both."""
+    marks = commits(spark, *hours)
+    for data, kind, path in ((spark.createDataFrame(list(rows), SCHEMA), SCHEMA, place["in"]), (marks, None, place["in"] + "-commits")):
+        if kind is None and hours or rows and kind:
+            data.coalesce(1).write.mode("append").parquet(path)
+    for path in (place["in"], place["in"] + "-commits"):
+        Path(path).mkdir(exist_ok=True)
+    streams = spark.readStream.schema(SCHEMA).parquet(place["in"]), spark.readStream.schema(marks.schema).parquet(place["in"] + "-commits")
+    inc.record(*streams, place["turns"], place["ledger"], place["progress"], folders=4)
+
+
+def test_commits_that_become_known_after_their_turns(spark, place):
+    both_arrive(spark, place, [turn("t1", 10)])
+    assert booked(spark, place) == {}
+    both_arrive(spark, place, [turn("t2", 10.5)], 10.1, 11)
+    assert booked(spark, place) == {("s", "c10.1"): (1, 1), ("s", "c11"): (1, 1)}
+
+
+def test_a_commit_alone_books_a_quiet_session(spark, place):
+    both_arrive(spark, place, [turn("t1", 1), turn("t2", 5), turn("u1", 30, session="u"), turn("x", 4, session="x", repo="q")])
+    both_arrive(spark, place, (), 6)
+    assert booked(spark, place) == {("s", "c6"): (2, 2)}
+    both_arrive(spark, place, (), 2)
+    assert booked(spark, place) == {("s", "c2"): (1, 1), ("s", "c6"): (1, 1)}
+    both_arrive(spark, place, (), 5.5)
+    assert booked(spark, place) == {("s", "c2"): (1, 1), ("s", "c5.5"): (1, 1)}
+    inc.sweep(spark, place["turns"], place["ledger"], "2026-01-05")
+    assert sum(n for n, _ in booked(spark, place).values()) == 4
+    both_arrive(spark, place, (), 40)  # what a sweep has booked stays
+    assert booked(spark, place)[("u", "pending@2026-01-05")] == (1, 1) and ("u", "c40") not in booked(spark, place)
+
+
+def test_commits_before_any_turn(spark, place):
+    both_arrive(spark, place, (), 3)
+    both_arrive(spark, place, [turn("a", 1), turn("b", 4)])
+    assert booked(spark, place) == {("s", "c3"): (1, 1)}
+
+
 def test_latest_record_of_a_message_whatever_the_order(spark, tmp_path):
     columns = "session_id string, msg_id string, ts timestamp, file_order string, line_no long, output long"
     rows = {0: [("s", "m", START, "", 5, 50), ("s", "n", START, "", 1, 1)], 1: [("s", "m", START, "", 2, 20), ("s", "n", None, "", 2, 2)], 2: [("s", "m", START + timedelta(hours=1), "", 9, 90)]}

@@ -37,11 +37,19 @@ def _waves(spark, rows, label, parts=3, part=None):
 
 @query("select repo, commit, session_id, agent, turns, input, output from measured")
 def str_incremental_record(spark, sf_dir):
-    """Turns arrive in three parts, the two records of a message apart; the sweep takes what no commit did."""
+    """Turns and commits are two streams in three parts, the two records of a message apart.
+
+    A commit comes with its turns, after them or before them; the third part of the commits has a
+    run of its own, without new turns. The sweep takes what no commit did.
+    """
     turns, ledger, progress = new_path(spark, "turns"), new_path(spark, "ledger"), new_path(spark, "progress")
-    commits = stage(derive.commits(spark, sf_dir), "commits")
-    for stream in _waves(spark, derive.records(spark, sf_dir), "records"):
-        inc.record(stream, commits, turns, ledger, progress, folders=16)
+    records, commits = derive.records(spark, sf_dir), derive.commits(spark, sf_dir)
+    waves = _waves(spark, records, "records"), _waves(spark, commits, "commits", 3, F.pmod(F.xxhash64("sha"), F.lit(3)))
+    seen = next(waves[0]), next(waves[1])
+    inc.record(*seen, turns, ledger, progress, folders=16)
+    for k in (0, 0, 1):
+        next(waves[k])
+        inc.record(*seen, turns, ledger, progress, folders=16)
     inc.sweep(spark, turns, ledger, derive.SWEEP)
     return inc.read_ledger(spark, ledger).select("repo", "commit", "session_id", "agent", "turns", "input", "output")
 

@@ -11,8 +11,10 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 from watttrail.operators import ledger as ledgers
 from watttrail.operators.attribution import commit_label, next_boundary, pending_sweep
@@ -22,6 +24,7 @@ from watttrail.session import stage
 #: Sessions are spread over this many folders of the turns table.
 BUCKETS = 256
 _ROW = ["repo", "session_id", "agent", "commit"]
+_COMMIT = ["repo", "sha", "commit_ts"]
 
 
 def run_available(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -42,44 +45,91 @@ def write_batch(rows: DataFrame, number: int, path: str, by: list[str] | None =
 def record(stream: DataFrame, boundaries: DataFrame, turns_path: str, ledger_path: str, checkpoint: str, folders: int = BUCKETS) -> None:
     """Records a stream of turn records (with ``repo``) into tables of turns and of ledger rows.
 
-    A batch adds its records to the turns table, then writes the whole row of every session and
-    commit that it touched, built from all of their turns; it reads only the folders of sessions
-    it touched. Turns after the last commit wait for one, or for a ``sweep``; turns that a sweep
-    has booked stay there. ``recorded_at`` is the commit's time. A message whose later record
-    moves it to another commit leaves its former row, which may become a row of no turns.
+    ``boundaries`` has the commits, ``repo``, ``sha`` and ``commit_ts``: a table, or a second
+    stream, which is then read together with the first, so that a commit books the turns that
+    wait for it although none come with it. Commits may become known in any order and after
+    their turns. Beside the turns table stand ``_spans``, the time that a batch's turns of a
+    session cover, and ``_commits``, the commits by the batch that first had them.
+
+    A batch adds its records to the turns table. It then works out the rows of the sessions that
+    have new records, or turns for which a new commit is the next one, from all of their turns,
+    and writes those that the ledger lacks or has with other figures; it reads only the folders
+    of these sessions. Turns after the last commit wait for one, or for a ``sweep``; turns that a
+    sweep has booked stay there. ``recorded_at`` is the commit's time. A commit that loses all of
+    its turns, to an earlier commit or by later records, gets a row of no turns.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
+        if boundaries.isStreaming:
+            fresh, arrived = rows.where("turn is not null").select("turn.*"), rows.where("commit is not null").select("commit.*")
+        else:
+            fresh, arrived = rows, boundaries.select(*_COMMIT)
         bucket = F.pmod(F.xxhash64("session_id"), F.lit(folders)).cast("int")
-        write_batch(rows.withColumn("bucket", bucket), number, turns_path, ["bucket"])
-        stored = spark.read.parquet(turns_path)
-        fresh = stored.where(F.col("batch") == number)
-        buckets = [r[0] for r in fresh.select("bucket").distinct().collect()]  # as many as folders at most
-        messages = fresh.select("repo", "session_id", "agent", "msg_id").distinct()
-        sessions = messages.select("repo", "session_id").distinct()
-        own = stored.where(F.col("bucket").isin(buckets)).join(sessions, ["repo", "session_id"], "left_semi").drop("batch", "bucket")
-        own = without_swept(own, read_ledger(spark, ledger_path))
-        own = stage(own, "touched")
-        versions = next_boundary(own.join(messages, ["repo", "session_id", "agent", "msg_id"], "left_semi"), boundaries, ["repo"])
-        touched = versions.where("sha is not null").select(*_ROW[:3], F.col("sha").alias("commit"), "commit_ts").distinct()
-        placed = next_boundary(dedup_turns(own), boundaries, ["repo"]).where("sha is not null").withColumn("commit", F.col("sha"))
-        placed = stage(placed, "placed")
-        whole = ledgers.measured_rows(placed, F.col("commit_ts")).join(touched.select(*_ROW), _ROW, "left_semi")
-        emptied = touched.join(placed, _ROW, "left_anti")
+        kind = StructType([*stream.schema.fields]).add("bucket", "integer").add("batch", "long")
+        write_batch(fresh.withColumn("bucket", bucket), number, turns_path, ["bucket"])
+        stored = _stored(spark, turns_path, kind)
+        spans = stored.where(F.col("batch") == number).groupBy("repo", "session_id").agg(F.min("ts").alias("ts"), F.max("ts").alias("ts_hi"))
+        write_batch(spans, number, f"{turns_path}_spans")
+        known = _stored(spark, f"{turns_path}_commits", "repo string, sha string, commit_ts timestamp, batch long")
+        new = arrived.groupBy("repo", "sha").agg(F.min("commit_ts").alias("commit_ts")).where("commit_ts is not null")
+        write_batch(new.join(known.where(F.col("batch") < number), ["repo", "sha"], "left_anti"), number, f"{turns_path}_commits")
+
+        commits = _stored(spark, f"{turns_path}_commits", "repo string, sha string, commit_ts timestamp, batch long").where(F.col("batch") <= number)
+        spans = _stored(spark, f"{turns_path}_spans", "repo string, session_id string, ts timestamp, ts_hi timestamp, batch long").where(F.col("batch") <= number)
+        sessions = stage(_touched(spans, commits, number), "sessions")
+        buckets = [r[0] for r in sessions.select(bucket).distinct().collect()]  # as many as folders at most
+        before = read_ledger(spark, ledger_path, number).join(sessions, ["repo", "session_id"], "left_semi")
+        before = stage(before, "before")
+        own = stored.where(F.col("bucket").isin(buckets) & (F.col("batch") <= number)).drop("batch", "bucket")
+        own = without_swept(own.join(sessions, ["repo", "session_id"], "left_semi"), before)
+        placed = next_boundary(dedup_turns(own), commits, ["repo"]).where("sha is not null").withColumn("commit", F.col("sha"))
+        whole = stage(ledgers.measured_rows(placed, F.col("commit_ts")), "whole")
+        figures = F.xxhash64(F.to_json(F.struct(*sorted(whole.columns)))).alias("figures")
+        changed = whole.withColumn("figures", figures).join(before.select(*_ROW, figures), [*_ROW, "figures"], "left_anti").drop("figures")
+        gone = before.where(~F.col("commit").startswith("pending@")).select(*_ROW, "commit_ts").join(whole, _ROW, "left_anti")
         zeros = {c: F.lit(0).cast("long") for c in [*ledgers.TOKENS, *ledgers.TOOLS, "turns", "billable_input"]}
-        gone = emptied.withColumns({"kind": F.lit(ledgers.MEASURED), "recorded_at": F.col("commit_ts"), **zeros})
-        write_batch(whole.unionByName(gone, allowMissingColumns=True), number, ledger_path, ["repo"])
+        gone = gone.withColumns({"kind": F.lit(ledgers.MEASURED), "recorded_at": F.col("commit_ts"), **zeros})
+        write_batch(changed.unionByName(gone, allowMissingColumns=True), number, ledger_path, ["repo"])
+
+    if boundaries.isStreaming:
+        turns, marks = stream.select(F.struct(*stream.columns).alias("turn")), boundaries.select(F.struct(*_COMMIT).alias("commit"))
+        run_available(turns.unionByName(marks, allowMissingColumns=True), batch, checkpoint)
+    else:
+        run_available(stream, batch, checkpoint)
+
+
+def _touched(spans: DataFrame, commits: DataFrame, number: int) -> DataFrame:
+    """Sessions with records in this batch, and those with turns between a new commit and the commit before it."""
+    day = F.date_trunc("day", "commit_ts")
+    times = commits.select("repo", "commit_ts").distinct().withColumn("day", day)
+    days = times.groupBy("repo", "day").agg(F.max("commit_ts").alias("top"))
+    days = days.withColumn("earlier", F.lag("top").over(W.partitionBy("repo").orderBy("day"))).drop("top")
+    same_day = F.lag("commit_ts").over(W.partitionBy("repo", "day").orderBy("commit_ts"))
+    gaps = times.withColumn("same_day", same_day).join(days, ["repo", "day"]).select("repo", "commit_ts", F.coalesce("same_day", "earlier").alias("since"))
+    new = stage(commits.where(F.col("batch") == number).join(gaps, ["repo", "commit_ts"]), "new_commits")
+    # if the gap before the first new commit from a span's start on begins after its end, so do those of later ones
+    met = next_boundary(spans.where("ts is not null"), new, ["repo"]).where("sha is not null")
+    since = new.select("repo", "commit_ts", "since").distinct()
+    met = met.join(since, ["repo", "commit_ts"]).where("since is null or since < ts_hi")
+    fresh = spans.where(F.col("batch") == number)
+    return fresh.select("repo", "session_id").union(met.select("repo", "session_id")).distinct()
+
+
+def _stored(spark: SparkSession, path: str, kind: str | StructType) -> DataFrame:
+    """The table at ``path``; without rows where nothing has been written yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.schema(kind).parquet(path) if system.exists(folder) else spark.createDataFrame([], kind)
 
-    run_available(stream, batch, checkpoint)
 
+def read_ledger(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The latest version of each row that ``record`` and ``sweep`` wrote; rows left without turns are out.
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The latest version of each row that ``record`` and ``sweep`` wrote; rows left without turns are out."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    kind = f"{ledgers.SCHEMA}, batch long"
-    rows = spark.read.schema(kind).parquet(path) if system.exists(folder) else spark.createDataFrame([], kind)
+    With ``before``, what batches from that number on wrote does not count.
+    """
+    rows = _stored(spark, path, f"{ledgers.SCHEMA}, batch long")
+    rows = rows if before is None else rows.where(F.col("batch") < before)
     return ledgers.latest_rows(rows.withColumnRenamed("batch", "src_order")).where("turns > 0").drop("src_order")
 
 
