@@ -47,8 +47,9 @@ def str_incremental_record(spark, sf_dir):
     waves = _waves(spark, records, "records"), _waves(spark, commits, "commits", 3, F.pmod(F.xxhash64("sha"), F.lit(3)))
     seen = next(waves[0]), next(waves[1])
     inc.record(*seen, turns, ledger, progress, folders=16)
-    for k in (0, 0, 1):
-        next(waves[k])
+    for more in ((0,), (0, 1), (1,)):
+        for k in more:
+            next(waves[k])
         inc.record(*seen, turns, ledger, progress, folders=16)
     inc.sweep(spark, turns, ledger, derive.SWEEP)
     return inc.read_ledger(spark, ledger).select("repo", "commit", "session_id", "agent", "turns", "input", "output")
