@@ -94,6 +94,12 @@ def test_directories_of_commit_commands(spark):
         "sudo git commit": (True, "/home/u/w"),
         "git commit-tree x": (False, "/home/u/w"),
         'git log --grep "git commit"': (False, "/home/u/w"),
+        "echo don't && echo can't && git commit -m 'x'": (True, "/home/u/w"),
+        "bash -lc 'cd a && git commit'; git status": (True, "/home/u/w/a"),
+        "bash -c 'cd a' && git commit": (True, "/home/u/w"),
+        'sudo sh -c "eval \'git -C b commit\'"': (True, "/home/u/w/b"),
+        "bash commit.sh -c 'git commit'": (False, "/home/u/w"),
+        "echo " + 'a"b"' * 20_000 + " && git commit": (True, "/home/u/w"),
         "git -C /r commit --dry-run": (False, "/r"),
         "": (False, "/home/u/w"),
     }

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A word (quoted and bare pieces without space between) or a mark that ends a simple command.
-_TOKEN = r"""(?:"[^"]*"|'[^']*'|[^\s;&|()"'])+|[;&|()\n]"""
+#: Pieces of a word: quoted, escaped, bare.
+_SINGLE, _DOUBLE, _ESCAPED = r"'[^']*+'", r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', r"\\."
+_PIECE = rf"""{_SINGLE}|{_DOUBLE}|{_ESCAPED}|[^\s;&|()"'\\]++"""
+#: A comment, a word (of at most 200 pieces, which bounds the matcher's stack) or a mark that ends a simple command.
+_TOKEN = rf"(?s)(?<![^\s;&|()])#[^\n]*+|(?:{_PIECE}){{1,200}}+|[;&|()\n]"
+#: Levels of commands in commands, as in ``sh -c "bash -c '...'"``.
+NESTED = 2
 _HOME = "^(/root|/home/[^/]+|/Users/[^/]+)(?:/|$)"
 
 
@@ -24,10 +31,38 @@ def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once, however often ``then`` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _readable(command: Column) -> Column:
+    """The command with its lines joined; one whose quotes do not pair up, which a shell refuses,
+    without the apostrophes inside words or, if that does not mend it, without quotes."""
+    quoted = F.lit(rf"(?s){_SINGLE}|{_DOUBLE}|{_ESCAPED}")
+    paired = lambda text: ~F.regexp_replace(text, quoted, F.lit("")).rlike("[\"']")
+    whole = F.regexp_replace(F.coalesce(command, F.lit("")), r"\\\r?\n", " ")
+    loose = lambda text: F.regexp_replace(text, r"(?<=\w)'(?=\w)", "")
+    mended = lambda text: F.when(paired(text), text).otherwise(F.regexp_replace(text, "[\"']", ""))
+    return _let(whole, lambda text: F.when(paired(text), text).otherwise(_let(loose(text), mended)))
+
+
 def shell_tokens(command: Column) -> Column:
-    """Words of a shell command without their quotes, and the marks between simple commands."""
-    found = F.regexp_extract_all(F.coalesce(command, F.lit("")), F.lit(_TOKEN), F.lit(0))
-    return F.transform(found, lambda t: F.regexp_replace(t, "[\"']", ""))
+    """Words of a shell command as the shell hands them on (without quotes and escapes), and the
+    marks between simple commands. Comments are left out; here-documents count as commands."""
+    def plain(piece: Column) -> Column:
+        inside = F.substring(piece, F.lit(2), F.length(piece) - 2)
+        return (
+            F.when(piece.startswith("'"), inside)
+            .when(piece.startswith('"'), F.regexp_replace(inside, r'(?s)\\(["\\$`])', "$1"))
+            .when(piece.startswith("\\"), F.substring(piece, 2, 1))
+            .otherwise(piece)
+        )
+
+    found = F.regexp_extract_all(_readable(command), F.lit(_TOKEN), F.lit(0))
+    kept = F.filter(found, lambda t: ~t.startswith("#"))
+    pieces = lambda t: F.regexp_extract_all(t, F.lit(f"(?s){_PIECE}"), F.lit(0))
+    return F.transform(kept, lambda t: F.when(t.rlike("[\"'\\\\]"), F.array_join(F.transform(pieces(t), plain), "")).otherwise(t))
 
 
 def home_of(cwd: Column) -> Column:
@@ -41,40 +76,63 @@ def _inside(base: Column, argument: Column, home: Column) -> Column:
     return F.when(argument.startswith("/"), argument).when(tilde, in_home).otherwise(F.concat_ws("/", base, argument))
 
 
-def _walk(command: Column, cwd: Column, home: Column | None = None) -> Column:
-    """``(at, made)``: the directory after the command's last ``cd``, and that of its first ``git commit``."""
-    home = home_of(cwd) if home is None else home
+def _state(at: Column, git: Column | None = None, made: Column | None = None, idle: Column | None = None, seek: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    parts = {"git": none if git is None else git, "made": none if made is None else made, "idle": F.lit(False) if idle is None else idle, "seek": F.lit("first") if seek is None else seek}
+    return F.struct(at.cast("string").alias("at"), *(v.alias(n) for n, v in parts.items()))
+
 
-    def state(at: Column, git: Column, made: Column, seek: Column) -> Column:
-        return F.struct(at.alias("at"), git.alias("git"), made.alias("made"), seek.alias("seek"))
+def _walk(command: Column, home: Column, start: Column, finish: Callable[[Column], Column], depth: int = NESTED) -> Column:
+    """``finish`` of the state after the last word of a command that begins in the state ``start``.
 
+    A state is ``(at, git, made, idle, seek)``: the directory after the last ``cd``, that of the
+    last ``git``, that of the first ``git commit``, and whether a word asks for help by ``-h``. An automaton over the words; ``seek`` is what the next one may be. The command that a shell
+    or ``eval`` is given as a word is walked in its place, up to ``depth`` levels of them.
+    """
     def step(s: Column, t: Column) -> Column:
         first, word, git = s["seek"] == "first", s["seek"].isin("first", "word"), s["seek"] == "option"
-        to = lambda seek: state(s["at"], s["git"], s["made"], F.lit(seek))
-        return (
+
+        def to(seek: str, **changed: Column) -> Column:
+            return _state(**({n: s[n] for n in ("at", "git", "made", "idle")} | {"seek": F.lit(seek)} | changed))
+
+        out = (
             F.when(t.rlike(r"^[;&|()\n]$"), to("first"))
-            .when(s["seek"] == "target", state(_inside(s["at"], t, home), s["git"], s["made"], F.lit("word")))
-            .when(s["seek"] == "directory", state(s["at"], _inside(s["git"], t, home), s["made"], F.lit("option")))
+            .when(s["seek"] == "target", to("word", at=_inside(s["at"], t, home)))
+            .when(s["seek"] == "directory", to("option", git=_inside(s["git"], t, home)))
             .when(s["seek"] == "setting", to("option"))
+        )
+        if depth:
+            within = lambda end: to("word", made=end["made"], idle=end["idle"])
+            out = out.when(s["seek"] == "script", _walk(t, home, to("first"), within, depth - 1))
+        return (
+            out.when(t == "-h", to("word", idle=F.lit(True)))
             .when(git & (t == "-C"), to("directory"))
             .when(git & (t == "-c"), to("setting"))
             .when(git & t.startswith("-"), to("option"))
-            .when(git & (t == "commit"), state(s["at"], s["git"], F.coalesce(s["made"], s["git"]), F.lit("word")))
+            .when(git & (t == "commit"), to("word", made=F.coalesce(s["made"], s["git"])))
+            .when((s["seek"] == "shell") & t.rlike(r"^-\w*c$"), to("script"))
+            .when((s["seek"] == "shell") & t.startswith("-"), to("shell"))
             .when(first & (t == "cd"), to("target"))
-            .when(word & t.rlike("(^|/)git$"), state(s["at"], s["at"], s["made"], F.lit("option")))
+            .when(first & (t == "eval"), to("script"))
+            .when(word & t.rlike("(^|/)git$"), to("option", git=s["at"]))
+            .when(word & t.rlike("(^|/)(ba|da|k|z)?sh$"), to("shell"))
             .when(first & t.rlike(r"^\w+="), to("first"))
             .otherwise(to("word"))
         )
 
-    start = state(cwd.cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit("first"))
-    return F.aggregate(shell_tokens(command), start, step)
+    return F.aggregate(shell_tokens(command), start, step, finish)
 
 
 def is_commit_command(command: Column) -> Column:
-    """Whether a shell command makes a commit; null counts as empty. Help and dry runs make none."""
+    """Whether a shell command makes a commit; null counts as empty.
+
+    A command with ``--dry-run`` or ``--help`` anywhere makes none, nor one with the word ``-h``;
+    a message that mentions ``-h`` is no such word. Any options may stand between ``git`` and
+    ``commit``. Commands inside the word that ``sh -c`` or ``eval`` takes count.
+    """
     text = F.coalesce(command, F.lit(""))
-    idle = text.contains("--dry-run") | text.contains("--help") | F.array_contains(shell_tokens(command), "-h")
-    return _walk(command, F.lit("/"))["made"].isNotNull() & ~idle
+    made = lambda end: end["made"].isNotNull() & ~end["idle"]
+    return _walk(command, F.lit("/root"), _state(F.lit("/")), made) & ~(text.contains("--dry-run") | text.contains("--help"))
 
 
 def _normalised(path: Column) -> Column:
@@ -93,5 +151,5 @@ def commit_directory(command: Column, cwd: Column, home: Column | None = None) -
     ``~`` is ``home``, by default the home directory that ``cwd`` lies in; where none shows, it
     stays as it is. A command that makes no commit works where its last ``cd`` leads.
     """
-    walked = _walk(command, cwd, home)
-    return _normalised(F.coalesce(walked["made"], walked["at"]))
+    at = lambda end: F.coalesce(end["made"], end["at"])
+    return _normalised(_walk(command, home_of(cwd) if home is None else home, _state(cwd), at))

@@ -236,6 +236,16 @@ COMMANDS = [
     ("git commit -h", False, "/w/s"),
     ("git log --grep commit", False, "/w/s"),
     ("ls; cd '/q r'; GIT_X=1 git commit", True, "/q r"),
+    ("echo it's done && git commit -m 'x'", True, "/w/s"),
+    ("bash -c 'cd sub && git commit -m x'", True, "/w/s/sub"),
+    ('cd /top; sh -ec "bash -c \'git -C in commit -m y\'"', True, "/top/in"),
+    ("bash -c 'git commit -h'", False, "/w/s"),
+    ('git commit -m "drop the -h flag; git push"', True, "/w/s"),
+    ("git --no-pager commit", True, "/w/s"),
+    ('git -C a\\ dir commit -m "say \\"hi\\" && go"', True, "/w/s/a dir"),
+    ("ls # git commit", False, "/w/s"),
+    ('echo "git commit" | tee log', False, "/w/s"),
+    ("git log \\\n  --oneline && \\\n  git \\\n  commit", True, "/w/s"),
 ]
 
 
