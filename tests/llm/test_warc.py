@@ -54,3 +54,17 @@ def test_damage_is_found_and_empty_archives_read(spark):
     with pytest.raises(Exception, match="payload missing or damaged"):
         read_archive(spark, f"{path}-bad").collect()
     assert read_archive(spark, archive(spark, [])).collect() == []
+
+
+def test_ids_of_any_characters_and_dates(spark):
+    ids = ["a:b", "x\r\nWARC-Type: revisit", "a b+c%3A", "é>", "", None]
+    rows = [(i, f"u{n}", f"text {n}", f"2024-03-0{n + 1} 05:06:07") for n, i in enumerate(ids)] + [("z", "u", LONG, None), ("y:z", "u", LONG, None)]
+    df = spark.createDataFrame(rows, "ID string, url string, html string, at string").selectExpr("*", "cast(at as timestamp) t", "1 as Url_", "2 as PAGE", "3 as date")
+    path = new_path(spark, "test-warc")
+    write_archive(df, path, id_col="ID", date_col="t")
+    got = read_archive(spark, path).collect()
+    assert sorted(r.page for r in got) == sorted((i or "") for i in [*ids, "z", "y:z"])
+    assert {(r.page, r.record_type, r.refers_to) for r in got if r.record_type == "revisit"} == {("z", "revisit", "y:z")}
+    dates = {r.url: r.header.split("WARC-Date: ")[1].split("\r\n")[0] for r in read_archive(spark, path).selectExpr("header", "regexp_extract(header, 'URI: ([^\\\\r]*)', 1) url").collect()}
+    assert dates["u0"] == "2024-03-01T05:06:07Z" and dates["u"] == "1970-01-01T00:00:00Z"
+    assert all(r.header.count("\r\n") == len([line for line in r.header.split("\r\n") if line]) + 1 for r in got)

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watttrail.llm.columns import pick
 from watttrail.llm.exact_dedup import mark_repeats
 from watttrail.operators.skew import lookup
 from watttrail.session import stage
@@ -27,10 +28,12 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _urn(page: Column, row: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), row.cast("string"), F.lit(">"))
+    """Name of a record; the id is percent-encoded, so it may hold any character."""
+    name = F.url_encode(F.coalesce(page.cast("string"), F.lit("")))
+    return F.concat(F.lit("<urn:page:"), name, F.lit(":"), row.cast("string"), F.lit(">"))
 
 
-def _header(date: str) -> Column:
+def _header() -> Column:
     """Header block of a record, ending with the empty line."""
     revisit = F.col("refers_to").isNotNull()
     uri = F.regexp_replace(F.col("url"), r"[\r\n]+", "")
@@ -38,7 +41,7 @@ def _header(date: str) -> Column:
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: "), _urn(F.col("page"), F.col("row"))),
-        F.lit(f"WARC-Date: {date}"),
+        F.concat(F.lit("WARC-Date: "), F.col("date")),
         F.concat(F.lit("WARC-Target-URI: "), uri),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("sha")),
         F.concat(F.lit("WARC-Refers-To: "), F.col("refers_to")),
@@ -50,19 +53,30 @@ def _header(date: str) -> Column:
 
 
 def write_archive(
-    df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z"
+    df: DataFrame,
+    path: str,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    payload_col: str = "html",
+    date: str = "1970-01-01T00:00:00Z",
+    date_col: str | None = None,
 ) -> None:
     """Writes the archive of ``df`` to ``path``: a record for every row.
 
     Of records with equal payloads of at least ``REVISIT_FROM`` bytes, that with the smallest id
     (nulls last; of repeated rows one) is a response and the others revisit it. Smaller payloads
     are all responses. A null payload is empty; a null or empty URL leaves its header out or
-    empty. An empty table writes an empty archive.
+    empty. An empty table writes an empty archive. Ids may hold any characters; other columns
+    may have any names. A record's date is the timestamp ``date_col``, or ``date`` where there
+    is none.
     """
-    content = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    named = df.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), content.alias("payload"), F.sha2(content, 256).alias("sha"))
+    taken = {"page": id_col, "url": url_col, "text": payload_col} | ({"taken": date_col} if date_col else {})
+    content = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    own = F.date_format(F.to_utc_timestamp("taken", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'") if date_col else F.lit(None)
+    dated = F.coalesce(own, F.lit(date)).alias("date")
+    named = pick(df, **taken).select("page", "url", dated, content.alias("payload"), F.sha2(content, 256).alias("sha"))
     narrow = stage(
-        named.select("page", "url", "sha", F.octet_length("payload").cast("long").alias("size")).withColumn("row", F.monotonically_increasing_id()),
+        named.select("page", "url", "date", "sha", F.octet_length("payload").cast("long").alias("size")).withColumn("row", F.monotonically_increasing_id()),
         "records",
     )
     marked = mark_repeats(named.select("sha", "payload"), narrow)
@@ -79,7 +93,7 @@ def write_archive(
     other = (F.col("row") != F.col("first_row")) & (F.col("size") >= REVISIT_FROM)
     records = records.withColumn("refers_to", F.when(other, _urn(F.col("first_page"), F.col("first_row"))))
     copy = F.pmod(F.xxhash64("row"), F.col("copies")).cast("int").alias("copy")
-    records.select(_header(date).alias("header"), F.col("sha").alias("digest"), copy).write.option("compression", "zstd").parquet(f"{path}/records")
+    records.select(_header().alias("header"), F.col("sha").alias("digest"), copy).write.option("compression", "zstd").parquet(f"{path}/records")
     payloads.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
@@ -110,6 +124,6 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         "payload",
         "payload_digest",
         kind.alias("record_type"),
-        F.regexp_extract(field("WARC-Record-ID"), page_of, 1).alias("page"),
-        F.regexp_extract(field("WARC-Refers-To"), page_of, 1).alias("refers_to"),
+        F.url_decode(F.regexp_extract(field("WARC-Record-ID"), page_of, 1)).alias("page"),
+        F.url_decode(F.regexp_extract(field("WARC-Refers-To"), page_of, 1)).alias("refers_to"),
     )
