@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from watttrail.functions import wire
 from watttrail.functions.text import commit_directory, is_commit_command, project_directory
 from watttrail.operators import attribution as at
 from watttrail.operators import ledger as ledgers
-from watttrail.operators import quality, report
+from watttrail.operators import history, quality, report
 from watttrail.operators import turns as ops
 from watttrail.plans import derive
 from watttrail.session import new_path, stage, table
@@ -212,6 +213,61 @@ def jn_commit_range(spark, sf_dir):
     return at.in_commit_range(derive.measured(spark, sf_dir), chosen).select("commit", "session_id", "output")
 
 
+def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Commits numbered in each repository, and their parents: each seventh starts a branch, which the fourth after it merges."""
+    numbered = derive.commits(spark, sf_dir).withColumn("n", F.row_number().over(W.partitionBy("repo").orderBy("commit_ts", "sha")))
+    n = stage(numbered.select("repo", "sha", "n"), "commits")
+    links = "array(struct(0 as position, n - if(n % 7 = 3, 3, 1) as m), struct(1 as position, if(n % 7 = 6, n - 4, null) as m))"
+    up = n.select("repo", F.col("n").alias("m"), F.col("sha").alias("parent"))
+    return n, n.selectExpr("repo", "sha", f"inline({links})").join(up, ["repo", "m"]).select("repo", "sha", "position", "parent")
+
+
+_RANGES_SQL = """, numbered as (select repo, sha, row_number() over (partition by repo order by commit_ts, sha) n from commits),
+links as (select repo, sha, n - case when n % 7 = 3 then 3 else 1 end m from numbered
+  union all select repo, sha, n - 4 from numbered where n % 7 = 6),
+parents as (select l.repo, l.sha, p.sha parent from links l join numbered p on l.repo = p.repo and l.m = p.n),
+low as (select repo, sha from numbered where n = 9), head as (select repo, arg_max(sha, n) sha from numbered group by repo),
+tips as (select 'since' name, 'out' side, * from low union all select 'since', 'in', * from head where repo in (select repo from low)
+  union all select 'apart', 'left', * from low where repo in (select repo from numbered where n = 10) union all select 'apart', 'right', repo, sha from numbered where n = 10
+  union all select 'whole', 'in', * from low),
+reach as (select name, side, repo, sha from tips
+  union select r.name, r.side, r.repo, p.parent from reach r join parents p on r.repo = p.repo and r.sha = p.sha),
+flags as (select name, repo, sha, bool_or(side = 'in') i, bool_or(side = 'out') o, bool_or(side = 'left') l, bool_or(side = 'right') r
+  from reach group by all),
+spent as (select repo, commit, sum(output)::bigint output from measured group by all)
+select name, f.repo, f.sha as commit, coalesce(output, 0) as output from flags f left join spent s on f.repo = s.repo and f.sha = s.commit
+where (i or l <> r) and not o"""
+
+
+@query(derive.SQL.replace("with", "with recursive", 1) + _RANGES_SQL, prelude=False)
+def jn_history_ranges(spark, sf_dir):
+    """Commits of three ranges of each history with the output tokens booked to them: ``A..``, ``A...B`` and ``A``."""
+    commits, parents = _history(spark, sf_dir)
+    refs = commits.where("n = 9").selectExpr("repo", "'v1' ref", "sha").unionByName(commits.where("n = 10").selectExpr("repo", "'side' ref", "sha"))
+    refs = refs.unionByName(commits.groupBy("repo").agg(F.max_by("sha", "n").alias("sha")).withColumn("ref", F.lit("HEAD")))
+    exprs = F.expr("inline(map_entries(map('since', 'v1..', 'apart', 'v1...side', 'whole', 'v1', 'none', 'HEAD ^v1 missing'))) as (name, expr)")
+    ranges = commits.select("repo").distinct().select("repo", exprs)
+    found = history.commits_in_ranges(parents, ranges, commits, refs)
+    spent = derive.measured(spark, sf_dir).groupBy("repo", "commit").agg(F.sum("output").alias("output"))
+    return found.join(spent, ["repo", "commit"], "left").select("name", "repo", "commit", F.coalesce("output", F.lit(0)).alias("output"))
+
+
+_ROOTS_SQL = f"""with s as ({_SESSIONS_SQL}), r as (select distinct '/src/repo' || (user_id % 10) root from events),
+subs as (select root || '/.sub' root, root outer_root from r union all select root || '/.sub/.in', root from r union all select root, root from r)
+select session_id, s.cwd, subs.root from s join subs on cwd = outer_root or starts_with(cwd, outer_root || '/')"""
+
+
+@query(_ROOTS_SQL, prelude=False)
+def jn_superproject(spark, sf_dir):
+    """Sessions of repositories whose submodules have submodules: they work below the outermost root."""
+    tops = _repos(spark, sf_dir).selectExpr("root", "cast(null as string) superproject")
+    subs = tops.selectExpr("concat(root, '/.sub') root", "root superproject")
+    inner = subs.selectExpr("concat(root, '/.in') root", "root superproject")
+    placed = history.session_roots(tops.unionByName(subs).unionByName(inner), outermost=True)
+    found = at.sessions_in_repos(_sessions(spark, sf_dir), placed.select(F.col("root").alias("repo"), "session_root"), root="session_root")
+    return found.select("session_id", "cwd", F.col("repo").alias("root"))
+
+
 _PAIRS_SQL = """, pairs as (select 's' || user_id session_id, ts commit_ts, min(md5(cast(event_id as varchar))) sha
   from e where event_type = 'purchase' and user_id % 4 = 0 group by all)
 select t.session_id, t.msg_id, p.sha from turns t asof left join pairs p on t.session_id = p.session_id and t.ts <= p.commit_ts
