@@ -64,3 +64,34 @@ def test_shards_are_bounded_in_bytes(spark, tmp_path):
     sizes = [p.stat().st_size for p in Path(tmp_path, "shards").rglob("part-*")]
     assert max(sizes) <= 2000 and len(sizes) > 60
     assert spark.read.text(f"{tmp_path}/shards").count() == 2000
+
+
+def test_totals_document(spark, tmp_path):
+    import json
+
+    kind = "map<string, struct<input: long, cache_write: long, cache_read: long, output: long>>"
+    rows = spark.sql(f"""select * from values
+      ('measured', 'c1', 'codex', null, 3L, 10L, 1L, 2L, 4L, 13L, 1L, 0L, 1.25D, null, null, timestamp'2026-01-01 00:00:00'),
+      ('measured', 'c1', '', 'impl', 1L, 1L, 0L, 0L, 1L, 1L, 0L, 2L, null, null, null, timestamp'2026-01-03 00:00:00'),
+      ('measured', 'pending@2026-01-01', 'codex', '', 1L, 5L, 0L, 0L, 5L, 5L, 0L, 0L, 2.0D, null, null, timestamp'2026-01-02 00:00:00'),
+      ('compaction-estimate', 'c9', 'codex', null, null, null, null, null, null, null, null, null, null, 70L, 8L, null)
+      as t(kind, commit, agent, activity, turns, input, cache_write, cache_read, output, billable_input, web_search, web_fetch, wall_clock_s,
+           peak_context_tokens, summary_chars, recorded_at)""").selectExpr(
+        "*", f"cast(if(kind = 'measured', map('z', named_struct('input', input, 'cache_write', cache_write, 'cache_read', cache_read, 'output', output), 'a', named_struct('input', 1L, 'cache_write', 0L, 'cache_read', 0L, 'output', 0L)), null) as {kind}) by_model"
+    )
+    export.write_totals_document(rows, f"{tmp_path}/a")
+    export.write_totals_document(rows.repartition(3), f"{tmp_path}/b")
+    line = read(tmp_path / "a")
+    assert line == read(tmp_path / "b")
+    got = json.loads(line)
+    assert list(got) == sorted(got)
+    assert got["tokens"] == {"billable_input": 19, "cache_read": 2, "cache_write": 1, "input": 16, "output": 10}
+    assert list(got["by_model"]) == ["a", "z"] and got["by_model"]["a"]["billable_input"] == 3 and got["by_model"]["z"]["billable_input"] == 19
+    assert {k: v["output"] for k, v in got["by_activity"].items()} == {"impl": 1, "unlabeled": 9}
+    assert {k: v["output"] for k, v in got["by_agent"].items()} == {"codex": 9, "unknown": 1}
+    assert got["compaction_signals"] == {"events": 1, "peak_context_tokens": 70, "summary_chars": 8}
+    assert (got["commits_accounted"], got["ledger_rows"], got["turns"], got["time"]["wall_clock_s"]) == (1, 4, 5, 3.3)
+    assert got["server_tool_calls"] == {"web_fetch": 2, "web_search": 1} and got["through"] == "2026-01-03T00:00:00.000Z"
+    export.write_totals_document(rows.limit(0), f"{tmp_path}/none")
+    none = json.loads(read(tmp_path / "none"))
+    assert none["by_model"] == {} and none["through"] is None and none["turns"] == 0

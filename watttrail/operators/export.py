@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watttrail.operators.report import totals_document
+
 
 def write_report(report: DataFrame, path: str, form: str = "json") -> None:
     """A report as JSON lines or tab-separated text with a header, sorted by its columns.
@@ -25,6 +27,11 @@ def write_totals(totals: DataFrame, path: str) -> None:
     write_report(totals.select(*sorted(totals.columns)), path)
 
 
+def write_totals_document(ledger: DataFrame, path: str) -> None:
+    """The nested totals of a ledger as one text file with one line."""
+    totals_document(ledger).write.mode("overwrite").text(path)
+
+
 def _versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the complete versions below ``path``, ascending."""
     jvm = spark.sparkContext._jvm

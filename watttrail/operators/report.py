@@ -75,6 +75,76 @@ def by_label(ledger: DataFrame, label: str) -> DataFrame:
     return ledger.where(~is_compaction()).groupBy(report_key(label).alias(label)).agg(*_token_sums())
 
 
+def _keyed(key: str, value: Column) -> Column:
+    return F.struct(F.lit(key).alias("key"), value.alias("value"))
+
+
+def totals_document(ledger: DataFrame) -> DataFrame:
+    """The totals as one nested JSON document, keys sorted: one row, column ``value``.
+
+    Tokens are split by model, activity and agent. Each row is spread over the groups it counts
+    in, and one aggregation sums all of them before the exchange; what is put together after it
+    has one row for each label, as the document has. The same rows give the same bytes.
+    """
+    measured = ~is_compaction()
+    tokens = F.struct(*KINDS)
+    own = [_keyed(label, report_key(label)) for label in ("activity", "agent")]
+    entries = F.coalesce(F.map_entries("by_model"), F.array())
+    billable = lambda t: (t["input"] + t["cache_write"] + t["cache_read"]).alias("billable_input")
+    named = lambda g, label, t: F.struct(g.alias("part"), label.alias("label"), t.alias("tokens"))
+    groups = F.concat(
+        F.array(named(F.lit("all"), F.lit(""), tokens)),
+        F.when(measured, F.array(*(named(g["key"], g["value"], tokens) for g in own))).otherwise(F.array()),
+        F.when(
+            measured,
+            F.transform(entries, lambda e: named(F.lit("model"), e["key"], F.struct(*(e["value"][c].alias(c) for c in TOKENS), billable(e["value"])))),
+        ).otherwise(F.array()),
+    )
+    spread = ledger.withColumn("_group", F.explode(groups))
+    part, label = F.col("_group.part").alias("part"), F.col("_group.label").alias("label")
+    once = F.col("_group.part") == "all"
+    only = lambda c: F.when(once, c)
+    sums = [_sum(F.col("_group.tokens")[c]).alias(c) for c in sorted(KINDS)]
+    figures = [
+        _sum(only(F.col("turns"))).alias("turns"),
+        _sum(only(F.coalesce("wall_clock_s", F.lit(0.0))), "double").alias("wall_clock_s"),
+        *(_sum(only(F.col(c))).alias(c) for c in TOOLS),
+        F.count(only(F.lit(1))).alias("ledger_rows"),
+        F.max(only(F.col("recorded_at"))).alias("through"),
+        F.count(F.when(is_compaction(), 1)).alias("events"),
+        F.coalesce(F.sum(only(F.col("peak_context_tokens"))), F.lit(0)).alias("peak_context_tokens"),
+        F.coalesce(F.sum(only(F.col("summary_chars"))), F.lit(0)).alias("summary_chars"),
+    ]
+    # commits are made distinct by the exchange of the same aggregation, not in a second pass
+    commit = F.when(once, F.coalesce(real_commit(), F.lit("")))
+    by_commit = spread.groupBy(part, label, commit.alias("commit")).agg(*sums, *figures)
+    adds = [*sorted(KINDS), "turns", "wall_clock_s", *TOOLS, "ledger_rows", "events", "peak_context_tokens", "summary_chars"]
+    summed = by_commit.groupBy("part", "label").agg(
+        *(F.sum(c).alias(c) for c in adds), F.max("through").alias("through"), F.count(F.when(F.col("commit") != "", 1)).alias("commits")
+    )
+    tokens_of = F.struct(*sorted(KINDS)).alias("tokens")
+    split = lambda name: F.map_from_entries(
+        F.array_sort(F.collect_list(F.when(F.col("part") == name, F.struct("label", tokens_of))))
+    ).alias(f"by_{name}")
+    only_all = lambda c: F.when(F.col("part") == "all", F.col(c))
+    whole = lambda c: F.coalesce(F.max(only_all(c)), F.lit(0))
+    through = F.date_format(F.max(only_all("through")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    document = F.struct(
+        split("activity"),
+        split("agent"),
+        split("model"),
+        whole("commits").alias("commits_accounted"),
+        F.struct(*(whole(c).alias(c) for c in ("events", "peak_context_tokens", "summary_chars"))).alias("compaction_signals"),
+        whole("ledger_rows").alias("ledger_rows"),
+        F.struct(*(whole(c).alias(c) for c in sorted(TOOLS))).alias("server_tool_calls"),
+        through.alias("through"),
+        F.struct(F.round(whole("wall_clock_s"), 1).alias("wall_clock_s")).alias("time"),
+        F.struct(*(whole(c).alias(c) for c in sorted(KINDS))).alias("tokens"),
+        whole("turns").alias("turns"),
+    )
+    return summed.agg(document.alias("d")).select(F.to_json("d", {"ignoreNullFields": "false"}).alias("value"))
+
+
 def report(ledger: DataFrame, by: str) -> DataFrame:
     """A report of measured rows by commit, day, activity, agent or model.
 

@@ -12,7 +12,7 @@ from watttrail.functions import wire
 from watttrail.functions.text import commit_directory, is_commit_command, project_directory
 from watttrail.operators import attribution as at
 from watttrail.operators import ledger as ledgers
-from watttrail.operators import history, quality, report
+from watttrail.operators import export, history, quality, report
 from watttrail.operators import turns as ops
 from watttrail.plans import derive
 from watttrail.session import new_path, stage, table
@@ -503,6 +503,40 @@ def prj_encode_row(spark, sf_dir):
     )
 
 
+_DOC_KINDS = ("billable_input", "cache_read", "cache_write", "input", "output")
+
+
+def _doc_tokens(p: str) -> str:
+    return ", ".join(f"coalesce(sum({p}{k}), 0)::bigint {k}" for k in _DOC_KINDS)
+
+
+def _doc_split(name: str, key: str, rows: str) -> str:
+    fields = ", ".join(f"'{k}', {k}" for k in _DOC_KINDS)
+    return f"""(select '{{' || coalesce(string_agg('"' || label || '":' || json_object({fields})::varchar, ',' order by label), '') || '}}' from (select {key} as label, {_doc_tokens('')} from {rows} group by all)) as by_{name}"""
+
+
+@query(
+    f"""select {_doc_tokens('')}, coalesce(sum(turns), 0)::bigint turns, {_COMMITS_SQL}, count(*) as ledger_rows, {_WALL_SQL},
+    count(*) filter (where kind <> 'measured') as events, coalesce(sum(summary_chars), 0)::bigint as summary_chars,
+    strftime(max(recorded_at), '%Y-%m-%dT%H:%M:%S.%gZ') as through, {_doc_split('activity', "coalesce(activity, 'unlabeled')", 'measured')},
+    {_doc_split('agent', 'agent', 'measured')}, {_doc_split('model', 'model', '(select *, input + cache_write + cache_read billable_input from row_model)')} from ledger"""
+)
+def snk_totals_document(spark, sf_dir):
+    """The nested totals document, written to a file and read back as JSON."""
+    path = new_path(spark, "totals")
+    export.write_totals_document(derive.ledger(spark, sf_dir), path)
+    lines = spark.read.text(path)
+    get = lambda at: F.get_json_object("value", f"$.{at}")
+    numbers = {k: f"tokens.{k}" for k in _DOC_KINDS} | {
+        "turns": "turns", "commits": "commits_accounted", "ledger_rows": "ledger_rows", "events": "compaction_signals.events",
+        "summary_chars": "compaction_signals.summary_chars",
+    }
+    return lines.select(
+        *(get(at).cast("bigint").alias(n) for n, at in numbers.items()), get("time.wall_clock_s").cast("double").alias("wall_clock_s"), get("through").alias("through"),
+        *(get(f"by_{n}").alias(f"by_{n}") for n in ("activity", "agent", "model")),
+    )
+
+
 @query("select conv_id, turn, peak_context_tokens, model from compactions")
 def win_compaction_peak(spark, sf_dir):
     found = ops.compaction_events(derive.conversation_records(spark, sf_dir), ["conv_id"], "turn")
