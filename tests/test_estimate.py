@@ -97,3 +97,9 @@ def test_mitigation(spark):
     assert tuple(b.adjusted_tonnes) == (4, 5, 8) and tuple(b.adjusted_usd) == (4, 10, 24)
     with pytest.raises(ValueError, match="must be positive"):
         scenario_table(spark, {"x": {"usd_per_tco2e": 1, "effective_tco2e_per_credited_tco2e": [0, 1, 1]}})
+
+
+def test_rows_without_tokens_share_equally(spark):
+    none = dict.fromkeys(("input", "cache_write", "cache_read", "output"), 0)
+    rows = est.model_shares(row(spark, ["a", "b"], (0, 0, 0, 0), 4, by_model={"a": none, "b": none})).collect()
+    assert sorted((r.model, r.share, r.turns) for r in rows) == [("a", 0.5, 2.0), ("b", 0.5, 2.0)]
