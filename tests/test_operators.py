@@ -108,3 +108,13 @@ def test_directories_of_commit_commands(spark):
     assert {r.c: (r.made, r.at) for r in got} == cases
     away = rows.limit(1).select(commit_directory(F.lit("git -C ~/x commit"), F.lit("/srv")).alias("at"), is_commit_command(F.lit(None).cast("string")).alias("made"))
     assert tuple(away.first()) == ("/srv/~/x", False)
+
+
+def test_meet_is_an_inner_join_with_hot_keys(spark):
+    from watttrail.operators.skew import lookup, meet
+
+    rows = spark.range(4000).selectExpr("if(id % 2 = 0, 7, id) key", "id row").union(spark.sql("select cast(null as bigint), -1L"))
+    entries = spark.sql("select * from values (7L, 2000L, 'hot'), (9L, 1L, 'cold'), (-5L, 1L, 'none') e(key, n, value)")
+    want = sorted((r.key, r.row, r.value) for r in lookup(rows, entries, "key", "n", 2002, "row").where("value is not null").collect())
+    assert sorted(map(tuple, meet(rows, entries, "key", "n", 2002).select("key", "row", "value").collect())) == want
+    assert len(want) == 2002

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watttrail.operators.components import connected_components
-from watttrail.operators.skew import lookup
+from watttrail.operators.skew import lookup, meet
 from watttrail.session import stage
 
 SHINGLE = 3
@@ -144,7 +144,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, blocks
     total = more.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not total:
         return twos
-    members = stage(lookup(keyed, more, "key", "n", total, "fp").where("size is not null"), "members")
+    members = stage(meet(keyed, more, "key", "n", total), "members")
     cold = members.where(F.col("size") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
     found = twos.union(_bucket_links(cold, distance))
     hot = members.where(F.col("size") > bucket).select("fp").distinct()
@@ -161,6 +161,15 @@ def near_duplicates(
     other. Repeated rows share a component. An empty table gives an empty result.
     """
     rows = stage(fingerprints(df, id_col, text_col, shingle), "fingerprints")
+    return components(rows, distance).select(
+        F.col("id").alias(id_col),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
+def components(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``(id, fp, component)`` for ``rows(id, fp)``, the least id of each component of linked fingerprints."""
     groups = stage(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "groups")
     labels = connected_components(links(groups.select("fp"), distance))
     linked = stage(labels.join(groups, F.col("node") == F.col("fp")).select("fp", "root", "first"), "linked")
@@ -169,12 +178,7 @@ def near_duplicates(
     component = lookup(linked, least, "root", "n", total, "fp").select("fp", "least")
     entries = groups.join(component, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component"))
     count = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = lookup(rows, stage(entries, "entries"), "fp", "n", count, "id")
-    return found.select(
-        F.col("id").alias(id_col),
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.col("component").alias("component_id"),
-    )
+    return lookup(rows, stage(entries, "entries"), "fp", "n", count, "id")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,3 +30,18 @@ def lookup(rows: DataFrame, entries: DataFrame, key: str, weight: str, total: in
     joined = plain.join(F.broadcast(hot), "k", "left").withColumn("salt", salt).join(cold, ["k", "salt"], "left")
     found = F.coalesce("hot", "cold")
     return joined.select(*[F.col(place).alias(c) for c, place in at.items()], *[found[c].alias(c) for c in values])
+
+
+def meet(rows: DataFrame, entries: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``entries``, which has one row per key, balanced as ``lookup`` is.
+
+    Only rows that have an entry come out of the join. The hot keys, at most 1000, are known to the
+    plan, so their rows meet the broadcast entries and never pass the shuffle of the others.
+    """
+    least = max(2, int(total * HOT_SHARE))
+    found = entries.drop(weight)
+    hot = [r[0] for r in entries.where(F.col(weight) >= least).select(key).collect()]
+    if not hot:
+        return rows.join(found, key)
+    own = F.col(key).isin(hot)
+    return rows.where(~own).join(found.where(~own), key).unionByName(rows.where(own).join(F.broadcast(found.where(own)), key))
