@@ -147,3 +147,19 @@ def test_discovery_at_any_depth(spark, tmp_path):
     assert [(r.repo.rsplit("/", 1)[1], r.commit, r.src_order) for r in rows] == [("r1", "c1", 0), ("r2", "c2", 1)]
     with pytest.raises(ValueError, match="no ledger"):
         fleet_lines(spark, str(tmp_path / "r3"))
+
+
+def test_bundled_logs_have_few_files_and_keep_order(spark):
+    from watttrail.plans import source_queries as logs
+    from watttrail.session import new_path
+
+    rows = spark.range(3000).selectExpr("concat('s', id % 500) sid", "id ts", "concat('{\"n\": ', id, ', \"t\": \"a\\\\tb\"}') value")
+    path = new_path(spark, "bundled")
+    logs._write(rows, path, ["ts"])
+    lines = logs._read(spark, path)
+    assert lines.select("path").distinct().count() <= 8  # and not a file or more for each of 500 sessions
+    assert lines.where("value not like '{%}'").isEmpty()
+    found = {}
+    for r in lines.orderBy("session_id", "file_order", "path", "line_no").collect():
+        found.setdefault(r.session_id, []).append(int(r.value.split(": ")[1].split(",")[0]))
+    assert found == {f"s{k}": list(range(k, 3000, 500)) for k in range(500)}

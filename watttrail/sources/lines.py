@@ -37,10 +37,10 @@ def parsed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("v", F.when(F.schema_of_variant(value).startswith("OBJECT"), value))
 
 
-def corrupt_lines(lines: DataFrame) -> DataFrame:
-    """Count of readable and corrupt lines of each file."""
+def corrupt_lines(lines: DataFrame, by: str = "path") -> DataFrame:
+    """Count of readable and corrupt lines of each file, or of each value of another column."""
     bad = F.col("v").isNull()
-    return parsed(lines).groupBy("path").agg(F.count(F.when(~bad, 1)).alias("readable"), F.count(F.when(bad, 1)).alias("corrupt"))
+    return parsed(lines).groupBy(by).agg(F.count(F.when(~bad, 1)).alias("readable"), F.count(F.when(bad, 1)).alias("corrupt"))
 
 
 def get(path: str, kind: str = "string", of: str = "v") -> Column:
