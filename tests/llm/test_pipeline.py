@@ -63,3 +63,21 @@ def test_pipeline(spark):
 
     final = corpus_pipeline.run(spark, path).collect()
     check_pieces(final, {r.doc_id: r.text for r in far.collect()})
+
+
+def test_near_stage_runs_simhash_blocks(spark, monkeypatch):
+    from watttrail.llm import simhash
+
+    proposed, components = [], simhash.components
+
+    def seen(rows, *more):
+        proposed.append(components(rows, *more))
+        return proposed[-1]
+
+    monkeypatch.setattr(simhash, "components", seen)
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, text), (2, text + " x"), (3, "a b c d e f"), (4, None), (5, "")]
+    kept = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in kept.collect()} == {1, 3, 4, 5}
+    # the operator of op9 links the first two, and the wordless, which the exact similarity tells apart
+    assert len(proposed) == 1 and len({r.component for r in proposed[0].collect()}) == 3
