@@ -131,3 +131,17 @@ def test_product_of_a_block():
     least = {i: i for i in range(len(texts))} | {b: a for a, b in links}
     assert sorted((str(i), len(plain_set(t)), str(least[i])) for i, t in enumerate(texts)) == want
     assert len(got) == len(links)
+
+
+def test_hot_keys_connect_all_their_nodes(spark, monkeypatch):
+    from watttrail.llm import overlap
+    from watttrail.operators.components import connected_components
+
+    monkeypatch.setattr(overlap, "HOT", 64)
+    monkeypatch.setattr(overlap, "SAMPLED", 1)
+    monkeypatch.setattr(overlap, "PARTS", 4)
+    rows = [(n, 1) for n in range(300)] + [(n, 1000 + n // 2) for n in range(1000, 1006)] + [(5, 8), (1000, 9), (9999, 10)]
+    edges = overlap._agreements(spark.createDataFrame(rows, "node long, key long"))
+    assert edges.where("a >= b").isEmpty()
+    found = {r.node: r.root for r in connected_components(edges).collect()}
+    assert found == {n: 0 for n in range(300)} | {n: n - n % 2 for n in range(1000, 1006)}

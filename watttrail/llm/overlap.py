@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from watttrail.llm.columns import pick
@@ -47,6 +48,8 @@ LEAST_GRAMS = 2
 #: Rows and grams of a row block, about; both are dealt by hash.
 ROWS, GRAMS = 512, 1 << 20
 HUBS = 8
+#: A key that about so many nodes have is hot; one node in ``SAMPLED`` tells, and ``PARTS`` tasks share its nodes.
+HOT, SAMPLED, PARTS = 1 << 12, 1 << 6, 64
 COLUMNS = 2048
 SEED = 42
 _ROWS_AT_ONCE = 256
@@ -224,12 +227,24 @@ def node_of(hashes: np.ndarray) -> int | None:
 
 
 def _agreements(keyed: DataFrame) -> DataFrame:
-    """Edges ``(a, b)`` that connect all nodes with a common key in ``keyed(node, key)``."""
-    ends = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("top"), F.count("*").alias("n"))
-    shared = stage(ends.where("a < top").select("key", "a", "n", F.col("a").alias("hub")).drop("a"), "shared")
-    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    met = lookup(keyed, shared, "key", "n", total, "node").where("hub < node")
-    return met.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    """Edges ``(a, b)`` that connect all nodes with a common key in ``keyed(node, key)``.
+
+    Every key passes one exchange. Keys that a sample of the nodes shows to be hot are dealt into
+    ``PARTS`` parts, whose least nodes are then linked to each other.
+    """
+    sample = keyed.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SAMPLED)) == 0)
+    often = sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT // SAMPLED)
+    hot = [r[0] for r in often.orderBy(F.desc("n"), "key").limit(1000).select("key").collect()]
+    part = F.when(F.col("key").isin(hot), F.xxhash64("key", F.pmod(F.hash("node"), F.lit(PARTS)))).otherwise(F.col("key"))
+    dealt = keyed.select("node", part.alias("part"), *([F.when(F.col("key").isin(hot), F.col("key")).alias("hot")] if hot else []))
+    so_far = W.partitionBy("part").orderBy("node").rowsBetween(W.unboundedPreceding, 0)
+    hubs = dealt.withColumn("a", F.first("node").over(so_far))
+    if not hot:
+        return hubs.where("a < node").select("a", F.col("node").alias("b"))
+    met = stage(hubs.where("a < node or hot is not null").select("a", F.col("node").alias("b"), "hot"), "met")
+    tops = met.where("hot is not null and a = b").groupBy("hot").agg(F.sort_array(F.collect_set("a")).alias("tops"))
+    between = tops.select(F.col("tops")[0].alias("a"), F.explode("tops").alias("b"))
+    return met.select("a", "b").union(between).where("a < b")
 
 
 def _blocks(rows: Column, grams: Column) -> Column:
@@ -298,7 +313,12 @@ def _cross(rows: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
 def linked_sets(docs: DataFrame, shown: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """``(node, root)`` for nodes linked to others, among ``shown = prints(docs)``."""
     spark = docs.sparkSession
-    keyed = shown.where("node is not null").select("node", F.explode("keys").alias("key"))
+    rows = shown.where("node is not null")
+    copies = rows.groupBy("node").agg(F.count("*").alias("k"), F.min("id").alias("own"))
+    most = stage(copies.where(F.col("k") >= SAMPLED), "copies")
+    many = most.where(F.col("k") >= max(SAMPLED, most.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0] // 1000))  # 1000 nodes at most
+    once = rows.join(F.broadcast(many.select("node", "own")), "node", "left").where("own is null or own = id")
+    keyed = once.select("node", F.explode("keys").alias("key"))
     groups = connected_components(_agreements(keyed))
     known = shown.groupBy("node").agg(F.min(F.struct("t", "u")).alias("text"), F.first("n").alias("n"))
     members = stage(groups.join(known, "node").select("node", "root", "n", "text.t", "text.u"), "members")
