@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from watttrail.operators import history
 from watttrail.operators.history import commits_in_ranges, session_roots
 
 
@@ -60,3 +61,23 @@ def test_superprojects(spark):
     ring = spark.createDataFrame([("/a", "/b"), ("/b", "/c"), ("/c", "/a")], "root string, superproject string")
     with pytest.raises(ValueError, match="own superproject"):
         session_roots(ring, outermost=True)
+
+
+def test_long_tables_of_links_are_contracted(spark, monkeypatch):
+    dice = random.Random(5)
+    parents = {0: []}
+    for n in range(1, 400):
+        parents[n] = list(dict.fromkeys([max(n - dice.choice([1, 1, 1, 4]), 0), *(dice.randrange(n) for _ in range(dice.choice([0, 0, 0, 1])))]))
+    rows = [("r", str(n), i, str(p)) for n, ps in parents.items() for i, p in enumerate(ps)]
+    edges = spark.createDataFrame(rows, "repo string, sha string, position int, parent string")
+    monkeypatch.setattr(history, "LINKS", 40)
+    levels, left = history._contracted(edges.where("position = 0").selectExpr("cast(sha as long) id", "cast(parent as long) up"))
+    sizes = [level.count() for level in levels]
+    assert len(sizes) > 3 and left.count() <= 40 and sum(sizes) < 6 * 399
+    tips = spark.createDataFrame([("a", "r", "399"), ("a", "r", "200"), ("b", "r", "250"), ("c", "r", "0")], "label string, repo string, sha string")
+    got = sorted((r.label, int(r.sha)) for r in history.reachable(edges, tips).collect())
+    want = {"a": above(parents, 399) | above(parents, 200), "b": above(parents, 250), "c": {0}}
+    assert got == sorted((k, n) for k, ns in want.items() for n in ns)
+    ring = edges.union(spark.createDataFrame([("r", "0", 0, "399")], edges.schema))
+    with pytest.raises(ValueError, match="ancestor of itself"):
+        history.reachable(ring, tips)

@@ -3,47 +3,103 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from watttrail.session import stage
 
+#: Links to first parents that are followed in doubling steps; more are contracted first.
+LINKS = 1 << 18
 _AT = ["repo", "sha"]
 
 
-def _first_parent_jumps(parents: DataFrame) -> list[DataFrame]:
-    """Tables ``(repo, sha, up)`` of the ancestor 1, 2, 4, ... first parents above each commit."""
-    jump = stage(parents.where("position = 0").select("repo", "sha", F.col("parent").alias("up")), "jumps")
+def _numbered(parents: DataFrame, tips: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``names(id, repo, sha)`` of all commits, and ``links(id, up, first)`` between their numbers.
+
+    One link of a commit at most, to its first parent, is ``first``.
+    """
+    every = parents.select(*_AT).union(parents.select("repo", "parent")).union(tips.select(*_AT)).distinct()
+    names = stage(every.select(F.monotonically_increasing_id().alias("id"), *_AT), "names")
+    ups = names.select(F.col("id").alias("up"), "repo", F.col("sha").alias("parent"))
+    links = parents.join(names, _AT).join(ups, ["repo", "parent"]).select("id", "up", "position")
+    nth = F.row_number().over(W.partitionBy("id").orderBy("position", "up"))
+    return names, stage(links.select("id", "up", ((nth == 1) & (F.col("position") == 0)).alias("first")), "links")
+
+
+def _contracted(jump: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Levels of the links ``jump(id, up)``, each without about a quarter of the commits before it, and the links left.
+
+    A level has ``gone`` for commits that leave at it, whose parents all stay, and ``skip`` for
+    those whose parent leaves; the next level links these to the parent's parent.
+    """
+    levels: list[DataFrame] = []
+    count = jump.count()
+    while count > LINKS:
+        coin = lambda c, k=len(levels): F.xxhash64(F.col(c), F.lit(k)) % 2 == 0
+        marked = jump.withColumn("gone", coin("id") & ~coin("up"))
+        above = marked.where("gone").select(F.col("id").alias("up"), F.col("up").alias("upper"))
+        level = stage(marked.join(above, "up", "left").select("id", "up", "gone", F.col("upper").isNotNull().alias("skip"), "upper"), "level")
+        jump, before = level.where("not gone").select("id", F.coalesce("upper", "up").alias("up")), count
+        count = jump.count()
+        levels.append(level)
+        if count == before:
+            break  # links of commits to themselves
+    return levels, stage(jump, "jumps")
+
+
+def _jumps(jump: DataFrame) -> list[DataFrame]:
+    """Tables ``(id, up)`` of the ancestor 1, 2, 4, ... links above each commit."""
     jumps, commits = [], jump.count()
     while not jump.isEmpty():
         if 1 << len(jumps) > commits:
             raise ValueError("a commit is an ancestor of itself")
         jumps.append(jump)
-        above = jump.select("repo", F.col("sha").alias("up"), F.col("up").alias("upper"))
-        jump = stage(jump.join(above, ["repo", "up"]).select("repo", "sha", F.col("upper").alias("up")), "jumps")
+        above = jump.select(F.col("id").alias("up"), F.col("up").alias("upper"))
+        jump = stage(jump.join(above, "up").select("id", F.col("upper").alias("up")), "jumps")
     return jumps
 
 
+def _climbed(front: DataFrame, levels: list[DataFrame], jumps: list[DataFrame]) -> DataFrame:
+    """``front(label, id)`` with all ancestors by first parents; distinct."""
+    left = []
+    for level in levels:
+        met = stage(front.join(level.where("gone").select("id", "up"), "id", "left"), "met")
+        left.append(met.where("up is not null").select("label", "id"))
+        front = met.select("label", F.coalesce("up", "id").alias("id")).distinct()
+    for jump in jumps:
+        front = front.join(jump, "id", "left").select("label", F.explode(F.array_compact(F.array("id", "up"))).alias("id")).distinct()
+    found = stage(front, "climbed")
+    for level, own in zip(reversed(levels), reversed(left), strict=True):
+        passed = found.join(level.where("skip").select("id", "up"), "id").select("label", F.col("up").alias("id"))
+        found = found.union(stage(own.union(passed).distinct(), "passed"))
+    return found
+
+
 def reachable(parents: DataFrame, tips: DataFrame) -> DataFrame:
     """Each row of ``tips(label, repo, sha)`` with all commits it reaches, itself included; distinct.
 
-    ``parents`` has ``(repo, sha, position, parent)``, position 0 for the first parent. Chains of
-    first parents are followed in doubling steps, so a chain of any length takes few joins; then
-    the other parents of what was reached are the tips of the next round. There are as many
-    rounds as merges of merged branches lie within each other.
+    ``parents`` has ``(repo, sha, position, parent)``, position 0 for the first parent. Commits and
+    labels are numbered. Links to first parents are contracted, level by level, until ``LINKS`` are
+    left, and those followed in doubling steps, so that all levels together have a few times the
+    links, whatever the length of the chains. Then the other parents of what was reached are the
+    tips of the next round. There are as many rounds as merges of merged branches lie within each
+    other.
     """
-    jumps = _first_parent_jumps(parents)
-    others = parents.where("position > 0").select(*_AT, "parent")
-    front = stage(tips.select("label", *_AT).distinct(), "tips")
+    names, links = _numbered(parents, tips)
+    levels, jump = _contracted(links.where("first").select("id", "up"))
+    jumps = _jumps(jump)
+    others = links.where("not first").select("id", "up")
+    labels = stage(tips.select("label").distinct().select(F.monotonically_increasing_id().alias("_label"), "label"), "labels")
+    own = tips.join(names, _AT).join(labels, "label").select(F.col("_label").alias("label"), "id")
+    front = stage(own.distinct(), "tips")
     seen = front.limit(0)
     while not front.isEmpty():
-        for jump in jumps:
-            both = F.array_compact(F.array("sha", "up"))
-            front = front.join(jump, _AT, "left").select("label", "repo", F.explode(both).alias("sha")).distinct()
-        fresh = stage(front.join(seen, ["label", *_AT], "left_anti"), "reached")
+        fresh = stage(_climbed(front, levels, jumps).join(seen, ["label", "id"], "left_anti"), "reached")
         seen = seen.union(fresh)
-        merged = fresh.join(others, _AT).select("label", "repo", F.col("parent").alias("sha")).distinct()
-        front = stage(merged.join(seen, ["label", *_AT], "left_anti"), "tips")
-    return seen
+        merged = fresh.join(others, "id").select("label", F.col("up").alias("id")).distinct()
+        front = stage(merged.join(seen, ["label", "id"], "left_anti"), "tips")
+    named = seen.join(names, "id").select(F.col("label").alias("_label"), *_AT)
+    return named.join(labels, "_label").select("label", *_AT)
 
 
 def commits_in_ranges(parents: DataFrame, ranges: DataFrame, commits: DataFrame, refs: DataFrame | None = None) -> DataFrame:
@@ -68,8 +124,9 @@ def commits_in_ranges(parents: DataFrame, ranges: DataFrame, commits: DataFrame,
     named = commits.select("repo", F.col("sha").alias("ref"), "sha", F.lit(1).alias("order"))
     if refs is not None:
         named = named.unionByName(refs.select("repo", "ref", "sha", F.lit(0).alias("order")))
-    named = named.groupBy("repo", "ref").agg(F.min_by("sha", "order").alias("sha"))
-    sides = stage(terms.select("name", "repo", F.inline(ends)).join(named, ["repo", "ref"], "left"), "ends")
+    asked = stage(terms.select("name", "repo", F.inline(ends)), "asked")
+    named = named.join(asked, ["repo", "ref"], "left_semi").groupBy("repo", "ref").agg(F.min_by("sha", "order").alias("sha"))
+    sides = stage(asked.join(named, ["repo", "ref"], "left"), "ends")
     unknown = sides.where("sha is null").select("name", "repo").distinct()
     tips = sides.join(unknown, ["name", "repo"], "left_anti").select(F.struct("name", "side").alias("label"), *_AT)
     has = lambda side: F.coalesce(F.bool_or(F.col("label.side") == side), F.lit(False)).alias(side)

@@ -219,7 +219,7 @@ def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     n = stage(numbered.select("repo", "sha", "n"), "commits")
     links = "array(struct(0 as position, n - if(n % 7 = 3, 3, 1) as m), struct(1 as position, if(n % 7 = 6, n - 4, null) as m))"
     up = n.select("repo", F.col("n").alias("m"), F.col("sha").alias("parent"))
-    return n, n.selectExpr("repo", "sha", f"inline({links})").join(up, ["repo", "m"]).select("repo", "sha", "position", "parent")
+    return n, stage(n.selectExpr("repo", "sha", f"inline({links})").join(up, ["repo", "m"]).select("repo", "sha", "position", "parent"), "parents")
 
 
 _RANGES_SQL = """, numbered as (select repo, sha, row_number() over (partition by repo order by commit_ts, sha) n from commits),
