@@ -127,3 +127,13 @@ def test_claims_only_rise(spark, tmp_path):
         inc.keep_claims(spark.readStream.schema(columns).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/progress")
     got = inc.read_claims(spark, f"{tmp_path}/out").orderBy("repo").collect()
     assert [(r.repo, r.ts_hi) for r in got] == [("q", START), ("r", START + timedelta(hours=8))]
+
+
+def test_turns_are_deduplicated_once_on_the_way_to_their_commits(spark):
+    rows = spark.createDataFrame([turn("a", 1), turn("a", 12, 5, 1), turn("b", 8), turn("c", 30), turn("d", 3, repo="q")], SCHEMA)
+    turns, marks = inc.dedup_turns(rows), commits(spark, 10, 20)
+    placed = inc.next_boundary(turns, marks, ["repo"], times=rows)
+    assert placed.columns == [*turns.columns, "sha", "commit_ts"]
+    assert placed._jdf.queryExecution().optimizedPlan().toString().count("row_number() windowspecdefinition(") == 1
+    found = {r.msg_id: (r.ts, r.output, r.sha) for r in placed.collect()}
+    assert found == {"a": (START + timedelta(hours=12), 5, "c20"), "b": (START + timedelta(hours=8), 1, "c10"), "c": (START + timedelta(hours=30), 1, None), "d": (START + timedelta(hours=3), 1, None)}

@@ -11,28 +11,34 @@ from watttrail.functions.text import project_directory
 PENDING = "pending@"
 
 
-def next_boundary(turns: DataFrame, boundaries: DataFrame, by: list[str], bucket: str = "hour") -> DataFrame:
+def next_boundary(turns: DataFrame, boundaries: DataFrame, by: list[str], bucket: str = "hour", times: DataFrame | None = None) -> DataFrame:
     """Left as-of join: each turn with the first boundary of its ``by`` group at or after ``ts``.
 
     ``boundaries`` has ``by``, ``sha`` and ``commit_ts``; of equal times the smallest sha counts.
     The search runs inside time buckets, so that one busy repository does not end up in one task.
     A turn whose bucket has no later boundary takes the first of the next bucket that has one,
-    from a table of one row per group and bucket.
+    from a table of one row per group and bucket. Its buckets come from ``times``, a table with
+    ``by`` and ``ts`` that has at least those of ``turns`` and is cheaper to read a second time.
     """
     marks = boundaries.groupBy(*by, "commit_ts").agg(F.min("sha").alias("sha"))
     at = F.struct("commit_ts", "sha")
     mark_rows = marks.select(*by, F.col("commit_ts").alias("_at"), F.lit(1).alias("_mark"), at.alias("_next"))
-    turn_rows = turns.select(*by, F.col("ts").alias("_at"), F.lit(0).alias("_mark"), F.struct(*turns.columns).alias("_turn"))
+    own = [c for c in turns.columns if c not in (*by, "ts")] or ["ts"]  # the others pass the exchange once
+    turn_rows = turns.select(*by, F.col("ts").alias("_at"), F.lit(0).alias("_mark"), F.struct(*own).alias("_turn"))
     rows = turn_rows.unionByName(mark_rows, allowMissingColumns=True).withColumn("_bucket", F.date_trunc(bucket, "_at"))
     # latest first, so that a frame that only grows holds what comes later; at one time a
     # boundary comes before a turn, which belongs to it
     later = W.partitionBy(*by, "_bucket").orderBy(F.desc("_at"), F.desc("_mark")).rowsBetween(W.unboundedPreceding, 0)
     found = rows.withColumn("_found", F.last("_next", ignorenulls=True).over(later)).where("_mark = 0")
-    buckets = rows.groupBy(*by, "_bucket").agg(F.min("_next").alias("_first"))
+    seen = (turns if times is None else times).select(*by, F.col("ts").alias("_at"))
+    seen = seen.unionByName(mark_rows.drop("_mark"), allowMissingColumns=True).withColumn("_bucket", F.date_trunc(bucket, "_at"))
+    buckets = seen.groupBy(*by, "_bucket").agg(F.min("_next").alias("_first"))
     after = W.partitionBy(*by).orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
     following = buckets.select(*by, "_bucket", F.last("_first", ignorenulls=True).over(after).alias("_following"))
     joined = found.join(following, [*by, "_bucket"], "left").withColumn("_hit", F.coalesce("_found", "_following"))
-    return joined.select("_turn.*", "_hit.sha", "_hit.commit_ts")
+    place = {"ts": "_at", **dict.fromkeys(by)}
+    shown = [F.col(place[c] or c).alias(c) if c in place else F.col(f"_turn.`{c}`") for c in turns.columns]
+    return joined.select(*shown, "_hit.sha", "_hit.commit_ts")
 
 
 def commit_label(sweep_date: Column) -> Column:

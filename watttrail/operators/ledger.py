@@ -35,7 +35,8 @@ def measured_rows(turns: DataFrame, recorded_at: Column) -> DataFrame:
 
     ``turns`` has ``repo``, ``commit``, ``commit_ts`` and optionally ``activity`` beside the turn
     columns. The activity is carried, not a part of the row's identity. Turns are first summed by
-    model, so the second step handles a row per model.
+    model, so the second step handles a row per model; its sums come from the list of models,
+    so that no figure passes its exchange twice.
     """
     keys = ["repo", "commit", "session_id", "agent"]
     activity = F.max("activity") if "activity" in turns.columns else F.lit(None).cast("string")
@@ -47,16 +48,22 @@ def measured_rows(turns: DataFrame, recorded_at: Column) -> DataFrame:
         F.max("commit_ts").alias("commit_ts"),
         activity.alias("activity"),
     )
-    split = F.map_from_entries(F.collect_list(F.struct("model", F.struct(*TOKENS))))
+    counts = [*TOOLS, "turns"]
     rows = by_model.groupBy(*keys).agg(
-        *(F.sum(c).alias(c) for c in [*TOKENS, *TOOLS, "turns"]),
+        F.collect_list(F.struct("model", F.struct(*TOKENS).alias("tokens"), *counts)).alias("_models"),
         F.min("ts_lo").alias("ts_lo"),
         F.max("ts_hi").alias("ts_hi"),
         F.max("commit_ts").alias("commit_ts"),
         F.max("activity").alias("activity"),
-        F.array_sort(F.collect_set("model")).alias("models"),
-        split.alias("by_model"),
     )
+    each = F.col("_models")
+    total = lambda x: F.aggregate(x, F.lit(None).cast("long"), lambda a, b: F.coalesce(a + b, a, b))
+    rows = rows.withColumns({
+        **{c: total(each["tokens"][c]) for c in TOKENS},
+        **{c: total(each[c]) for c in counts},
+        "models": F.array_sort(F.array_compact(each["model"])),
+        "by_model": F.map_from_arrays(each["model"], each["tokens"]),
+    })
     return rows.select(
         *keys,
         F.lit(MEASURED).alias("kind"),

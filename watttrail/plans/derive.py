@@ -75,7 +75,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = next_boundary(turns(spark, sf_dir), commits(spark, sf_dir), ["repo"])
+    placed = next_boundary(turns(spark, sf_dir), commits(spark, sf_dir), ["repo"], times=records(spark, sf_dir))
     return placed.withColumn("commit", commit_label(F.lit(SWEEP).cast("date")))
 
 

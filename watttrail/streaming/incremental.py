@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -79,18 +79,15 @@ def record(stream: DataFrame, boundaries: DataFrame, turns_path: str, ledger_pat
         spans = _stored(spark, f"{turns_path}_spans", "repo string, session_id string, ts timestamp, ts_hi timestamp, batch long").where(F.col("batch") <= number)
         sessions = stage(_touched(spans, commits, number), "sessions")
         buckets = [r[0] for r in sessions.select(bucket).distinct().collect()]  # as many as folders at most
-        before = read_ledger(spark, ledger_path, number).join(sessions, ["repo", "session_id"], "left_semi")
-        before = stage(before, "before")
+        before = _stored(spark, ledger_path, f"{ledgers.SCHEMA}, batch long").where(F.col("batch") < number).join(sessions, ["repo", "session_id"], "left_semi")
+        pending = F.col("commit").startswith("pending@")
+        swept = stage(_latest(before.where(pending)).select("repo", "session_id", "commit", "ts_lo", "ts_hi"), "swept")
         own = stored.where(F.col("bucket").isin(buckets) & (F.col("batch") <= number)).drop("batch", "bucket")
-        own = without_swept(own.join(sessions, ["repo", "session_id"], "left_semi"), before)
-        placed = next_boundary(dedup_turns(own), commits, ["repo"]).where("sha is not null").withColumn("commit", F.col("sha"))
-        whole = stage(ledgers.measured_rows(placed, F.col("commit_ts")), "whole")
-        figures = F.xxhash64(F.to_json(F.struct(*sorted(whole.columns)))).alias("figures")
-        changed = whole.withColumn("figures", figures).join(before.select(*_ROW, figures), [*_ROW, "figures"], "left_anti").drop("figures")
-        gone = before.where(~F.col("commit").startswith("pending@")).select(*_ROW, "commit_ts").join(whole, _ROW, "left_anti")
-        zeros = {c: F.lit(0).cast("long") for c in [*ledgers.TOKENS, *ledgers.TOOLS, "turns", "billable_input"]}
-        gone = gone.withColumns({"kind": F.lit(ledgers.MEASURED), "recorded_at": F.col("commit_ts"), **zeros})
-        write_batch(changed.unionByName(gone, allowMissingColumns=True), number, ledger_path, ["repo"])
+        own = without_swept(own.join(sessions, ["repo", "session_id"], "left_semi"), swept)
+        turns = dedup_turns(own).drop("msg_id", "file_order", "line_no")
+        placed = next_boundary(turns, commits, ["repo"], times=own).where("sha is not null").withColumn("commit", F.col("sha"))
+        whole = ledgers.measured_rows(placed, F.col("commit_ts"))
+        write_batch(_changes(whole, before.where(~pending)), number, ledger_path, ["repo"])
 
     if boundaries.isStreaming:
         turns, marks = stream.select(F.struct(*stream.columns).alias("turn")), boundaries.select(F.struct(*_COMMIT).alias("commit"))
@@ -129,10 +126,34 @@ def read_ledger(spark: SparkSession, path: str, before: int | None = None) -> Da
     With ``before``, what batches from that number on wrote does not count.
     """
     rows = _stored(spark, path, f"{ledgers.SCHEMA}, batch long")
-    rows = rows if before is None else rows.where(F.col("batch") < before)
+    return _latest(rows if before is None else rows.where(F.col("batch") < before))
+
+
+def _latest(rows: DataFrame) -> DataFrame:
     return ledgers.latest_rows(rows.withColumnRenamed("batch", "src_order")).where("turns > 0").drop("src_order")
 
 
+def _figures() -> Column:
+    """A hash of all that a ledger row has."""
+    return F.xxhash64(F.to_json(F.struct(*sorted(StructType.fromDDL(ledgers.SCHEMA).names))))
+
+
+def _changes(whole: DataFrame, before: DataFrame) -> DataFrame:
+    """Rows of ``whole`` that the versions ``before`` lack or have last with other figures, and rows of no turns for those they alone have.
+
+    Versions and new rows meet in one exchange by the row's key; versions come as hashes.
+    """
+    old = before.groupBy(*_ROW).agg(F.max_by(F.struct("turns", "commit_ts", _figures().alias("figures")), F.struct("recorded_at", "batch")).alias("_old"))
+    rest = [c for c in whole.columns if c not in _ROW]
+    new = whole.select(*_ROW, F.struct(*rest).alias("_new"), _figures().alias("_figures"))
+    met = new.join(old.where("_old.turns > 0"), _ROW, "full")
+    zeros = dict.fromkeys([*ledgers.TOKENS, *ledgers.TOOLS, "turns", "billable_input"], F.lit(0).cast("long"))
+    lone = {"kind": F.lit(ledgers.MEASURED), "commit_ts": F.col("_old.commit_ts"), "recorded_at": F.col("_old.commit_ts"), **zeros}
+    gone = F.col("_new").isNull()
+    either = [F.when(gone, lone[c]).otherwise(F.col(f"_new.{c}")).alias(c) if c in lone else F.col(f"_new.{c}") for c in rest]
+    return met.where("_new is null or _old is null or _figures <> _old.figures").select(*_ROW, *either)
+
+
 def without_swept(turns: DataFrame, ledger: DataFrame) -> DataFrame:
     """Turns outside the spans that earlier sweeps booked as pending for their session."""
     spans = ledger.where(F.col("commit").startswith("pending@")).select("repo", "session_id", "ts_lo", "ts_hi")
@@ -145,8 +166,14 @@ def sweep(spark: SparkSession, turns_path: str, ledger_path: str, sweep_date: st
 
     ``number`` tells sweeps of one day apart.
     """
-    ledger = read_ledger(spark, ledger_path)
-    left = pending_sweep(dedup_turns(spark.read.parquet(turns_path).drop("batch", "bucket")), ledger)
+    # a session's latest turn in each repository is all of the ledger that a sweep looks at
+    ledger = stage(read_ledger(spark, ledger_path).groupBy("repo", "session_id").agg(F.max("ts_hi").alias("ts_hi")), "marks")
+    records = spark.read.parquet(turns_path).drop("batch", "bucket")
+    # a message's last record decides, so all records of those messages count of which any is left
+    keys = ["agent", "session_id", "msg_id"]
+    open_keys = stage(pending_sweep(records, ledger).select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct(), "open")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    left = pending_sweep(dedup_turns(records.join(open_keys, same, "left_semi")), ledger)
     day = F.lit(sweep_date).cast("date")
     empty = {"sha": F.lit(None).cast("string"), "commit_ts": F.lit(None).cast("timestamp")}
     rows = ledgers.measured_rows(left.withColumns(empty).withColumn("commit", commit_label(day)), day.cast("timestamp"))
