@@ -145,3 +145,40 @@ def test_hot_keys_connect_all_their_nodes(spark, monkeypatch):
     assert edges.where("a >= b").isEmpty()
     found = {r.node: r.root for r in connected_components(edges).collect()}
     assert found == {n: 0 for n in range(300)} | {n: n - n % 2 for n in range(1000, 1006)}
+
+
+def shuffled_bytes(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_without_partners_pass_no_exchange(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"{rng.getrandbits(256):064x}" for _ in range(300))) for i in range(150)]
+    rows += [(1000 + i, t + " end" * (i % 2)) for i, t in enumerate([t for _, t in rows[:3]] * 4)]
+    docs = table_of(spark, rows).repartition(3)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = docs.select("doc_id", "text").localCheckpoint()
+        before = shuffled_bytes(spark)
+        got = rows_of(similar_texts(texts))
+        moved = shuffled_bytes(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == plain(rows)
+    assert moved < sum(len(t) for _, t in rows) / 3
+
+
+@pytest.mark.parametrize("words", [1 << 20, 3])
+def test_filter_of_texts_loses_none(spark, monkeypatch, words):
+    monkeypatch.setattr(overlap, "FILTER_WORDS", words)
+    rows = spark.range(6000).selectExpr("id", "xxhash64(id) as t", "hash(id) as u")
+    wanted = rows.where("id % 5 = 0").select("t", "u")
+    got = {r.id for r in overlap._picked(rows, wanted, wanted.count()).collect()}
+    assert got >= set(range(0, 6000, 5))
+    if words > 3:
+        assert len(got) < 1500
+    assert overlap._picked(rows, wanted.where("false"), 0).isEmpty()

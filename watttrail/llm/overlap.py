@@ -51,6 +51,9 @@ HUBS = 8
 #: A key that about so many nodes have is hot; one node in ``SAMPLED`` tells, and ``PARTS`` tasks share its nodes.
 HOT, SAMPLED, PARTS = 1 << 12, 1 << 6, 64
 COLUMNS = 2048
+#: The filter of the texts that are read again has a word for about so many of them, up to ``FILTER_WORDS``
+#: (about 32 bytes each as a broadcast relation: 32 MB); beyond that more texts pass it, and all results stay.
+TEXTS_PER_WORD, FILTER_WORDS = 4, 1 << 20
 SEED = 42
 _ROWS_AT_ONCE = 256
 _BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(_ROWS_AT_ONCE), "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
@@ -266,11 +269,26 @@ def _products(rows: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
     return rows.select(*by, "node", "apart", "grams").groupBy(*by).applyInArrow(run, "a long, b long")
 
 
-def _rows(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """The sets of the ``wanted(t, u, node, ...)`` nodes, worked out again from one text each."""
-    texts = docs.select(F.xxhash64("text").alias("t"), F.hash("text").alias("u"), "text").join(wanted, ["t", "u"])
+def _picked(texts: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
+    """The rows of ``texts(t, u, ...)`` that ``count`` rows ``wanted(t, u)`` may name: all of these and few others.
+
+    A blocked Bloom filter, three bits of one 64-bit word a text, meets the rows where they are
+    read, so that the others pass no exchange.
+    """
+    words = min(FILTER_WORDS, -(-count // TEXTS_PER_WORD)) or 1
+    word = F.pmod("t", F.lit(words)).alias("word")
+    bits = F.expr(" | ".join(f"shiftleft(1L, shiftrightunsigned(u, {6 * k}) & 63)" for k in range(3))).alias("bits")
+    held = wanted.select(word, bits).groupBy("word").agg(F.bit_or("bits").alias("held"))
+    met = texts.select("*", word, bits).join(F.broadcast(held), "word")
+    return met.where(F.col("held").bitwiseAND(F.col("bits")) == F.col("bits")).select(*texts.columns)
+
+
+def _rows(docs: DataFrame, wanted: DataFrame, count: int, shingle: int) -> DataFrame:
+    """The sets of the ``count`` nodes ``wanted(t, u, node, ...)``, worked out again from one text each."""
+    texts = _picked(docs.select(F.xxhash64("text").alias("t"), F.hash("text").alias("u"), "text"), wanted.select("t", "u"), count)
     kept = [c for c in wanted.columns if c not in ("t", "u", "node")]
-    once = texts.groupBy("node").agg(F.first("text").alias("text"), *(F.first(c).alias(c) for c in kept))
+    # copies of a text are one row before the exchange
+    once = texts.groupBy("t", "u").agg(F.first("text").alias("text")).join(wanted, ["t", "u"]).select("node", "text", *kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with released():
@@ -325,12 +343,13 @@ def linked_sets(docs: DataFrame, shown: DataFrame, shingle: int, num: int, den:
     sizes = members.groupBy("root").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
     wanted = members.join(sizes, "root")
     with small_batches(spark):
-        rows = stage(_rows(docs, wanted, shingle), "rows")
+        rows = stage(_rows(docs, wanted, members.count(), shingle), "rows")
     large = rows.where("blocks > 1")
     hubs = large.groupBy("root", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(HUBS)).alias("k")).agg(F.min("node").alias("node")).select("node")
-    own = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    own = F.pmod(F.xxhash64("node"), "blocks")
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
-    sent = own.unionByName(large.join(hubs, "node").select(*rows.columns, each)).dropDuplicates(["root", "block", "node"])
+    others = large.join(hubs, "node").select(*rows.columns, each).where(F.col("block") != own)
+    sent = rows.withColumn("block", own).unionByName(others)
     links = stage(_products(sent.withColumn("apart", F.col("node")), ["root", "block"], num, den), "links")
     if not large.isEmpty():
         links = links.union(stage(_cross(rows, links, num, den), "cross"))
