@@ -74,3 +74,27 @@ def test_repeated_and_null_ids(spark):
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(3, text + " y"), (5, other), (7, ""), (7, "")])
     alone = shingle_dedup.drop_similar(df.where("doc_id = 5"))
     assert sorted(r.text for r in alone.collect()) == sorted([text, other])
+
+
+def chain(places, variants):
+    """Windows of one text, neighbours of which are just similar; each has variants, similar to it and to no other window."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(180 + 19 * places)]
+    windows = [words[19 * place : 19 * place + 180] for place in range(places)]
+    rows = []
+    for place, window in enumerate(windows):
+        for k in range(variants):
+            copy = [*window]
+            copy[int(rng.integers(25, 155))] = f"v{place}of{k}"
+            rows.append((place * variants + k, " ".join(copy)))
+    return rows + [(100_000 + place, " ".join(window)) for place, window in enumerate(windows)]
+
+
+def test_large_buckets_lose_no_link(spark):
+    rows = chain(10, 120)
+    whole = dict(rows)
+    links = [(grams(whole[100_000 + p]), grams(whole[100_001 + p])) for p in range(9)]
+    assert all(0.8 <= jaccard(a, b) < 0.81 for a, b in links)
+    assert all(jaccard(grams(t), grams(whole[100_000 + i // 120])) > 0.9 for i, t in rows if i < 100_000)
+    kept = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert [r.doc_id for r in kept.collect()] == [0]

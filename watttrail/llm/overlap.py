@@ -202,10 +202,10 @@ def product_links(sizes: np.ndarray, grams: list[np.ndarray], num: int = NUM, de
     return links
 
 
-def prints(docs: DataFrame, shingle: int, keys: Keys) -> DataFrame:
+def prints(docs: DataFrame, shingle: int, keys: Keys, fingerprint: Callable[[str | None], int] | None = None) -> DataFrame:
     """``docs(id, text)`` without the text, plus ``n`` (size of the set), ``node`` (its hash), ``keys`` and hashes of the text.
 
-    ``node`` is null for an empty set.
+    ``node`` is null for an empty set. With ``fingerprint``, a function of a text, its value comes as ``fp``.
     """
     rows = docs.select("id", F.xxhash64("text").alias("t"), F.hash("text").alias("u"), "text")
 
@@ -214,14 +214,18 @@ def prints(docs: DataFrame, shingle: int, keys: Keys) -> DataFrame:
             for batch in batches:
                 for lo in range(0, batch.num_rows, _ROWS_AT_ONCE):
                     part = batch.slice(lo, _ROWS_AT_ONCE)
-                    sets = [shingles(t.as_py(), shingle) for t in part.column(3)]
+                    texts = part.column(3).to_pylist()
+                    sets = [shingles(t, shingle) for t in texts]
                     nodes = [node_of(s) for s in sets]
                     found = [keys(s).view(np.int64) if len(s) else _NONE.view(np.int64) for s in sets]
                     arrays = [*part.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["id", "t", "u", "n", "node", "keys"])
+                    if fingerprint:
+                        arrays.append(pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays(arrays, names)
 
+    names = ["id", "t", "u", "n", "node", "keys", *(["fp"] if fingerprint else [])]
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, t long, u int, n long, node long, keys array<bigint>")
+    return rows.mapInArrow(run, f"id {kind}, t long, u int, n long, node long, keys array<bigint>{', fp long' if fingerprint else ''}")
 
 
 def node_of(hashes: np.ndarray) -> int | None:
@@ -328,8 +332,11 @@ def _cross(rows: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
     return _products(met, ["root", "block1", "block2"], num, den)
 
 
-def linked_sets(docs: DataFrame, shown: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """``(node, root)`` for nodes linked to others, among ``shown = prints(docs)``."""
+def linked_sets(docs: DataFrame, shown: DataFrame, shingle: int, num: int, den: int, proposed: DataFrame | None = None) -> DataFrame:
+    """``(node, root)`` for nodes linked to others, among ``shown = prints(docs)``.
+
+    Nodes with a common key and those of an edge ``proposed(a, b)`` are in one group.
+    """
     spark = docs.sparkSession
     rows = shown.where("node is not null")
     copies = rows.groupBy("node").agg(F.count("*").alias("k"), F.min("id").alias("own"))
@@ -337,7 +344,8 @@ def linked_sets(docs: DataFrame, shown: DataFrame, shingle: int, num: int, den:
     many = most.where(F.col("k") >= max(SAMPLED, most.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0] // 1000))  # 1000 nodes at most
     once = rows.join(F.broadcast(many.select("node", "own")), "node", "left").where("own is null or own = id")
     keyed = once.select("node", F.explode("keys").alias("key"))
-    groups = connected_components(_agreements(keyed))
+    agreements = _agreements(keyed)
+    groups = connected_components(agreements if proposed is None else agreements.union(proposed))
     known = shown.groupBy("node").agg(F.min(F.struct("t", "u")).alias("text"), F.first("n").alias("n"))
     members = stage(groups.join(known, "node").select("node", "root", "n", "text.t", "text.u"), "members")
     sizes = members.groupBy("root").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
@@ -370,7 +378,12 @@ def similar_texts(
     docs = pick(df, id=id_col, text=text_col)
     with small_batches(df.sparkSession):
         shown = stage(prints(docs, shingle, lambda s: signatures(s, num, den)), "prints")
-    found = linked_sets(docs, shown, shingle, num, den)
+    found = row_components(shown, linked_sets(docs, shown, shingle, num, den))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def row_components(shown: DataFrame, found: DataFrame) -> DataFrame:
+    """``(id, n, component_id)`` for every row of ``shown = prints(docs)``, whose nodes are linked as ``found(node, root)`` says."""
     classes = stage(shown.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("rows")), "classes")
     linked = stage(found.join(classes, "node").select("node", "root", "first"), "linked")
     least = stage(linked.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("k")), "least")
@@ -379,6 +392,5 @@ def similar_texts(
     entries = classes.join(component, "node", "left").select("node", "rows", F.coalesce("least", "first").alias("component"))
     count = classes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     rows = shown.select("id", "n", "node", F.monotonically_increasing_id().alias("row"))
-    found = lookup(rows, stage(entries, "entries"), "node", "rows", count, "row")
     own = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component"))
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return lookup(rows, stage(entries, "entries"), "node", "rows", count, "row").select("id", "n", own.alias("component_id"))
